@@ -31,6 +31,7 @@ class KeyHolds(StatefulProcessor):
         self.ttl = ttl_seconds * 1_000_000
         self.keep_ms = (ttl_seconds + margin_seconds) * 1000
         self.columns = list(columns)
+        self.labelled = Row(*columns, ACQUIRED, HOLDER, "_since")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.hold = handle.getValueState("hold", HOLD_STATE, ttlDurationMs=self.keep_ms)
@@ -45,7 +46,7 @@ class KeyHolds(StatefulProcessor):
             free = since is None or row[_AT] >= since + self.ttl
             if free:
                 owner, since, changed = row["transaction_id"], row[_AT], True
-            yield Row(*[row[c] for c in self.columns], free, owner, since)
+            yield self.labelled(*[row[c] for c in self.columns], free, owner, since)
         if changed:
             self.hold.update((owner, since))
 
@@ -73,5 +74,5 @@ def classified_stream(requests: DataFrame, ttl_hours: int = fixed.IDEMPOTENCY_TT
 def classify_arrived(requests: DataFrame, path: str, checkpoint: str, **options) -> DataFrame:
     """Classify all arrived requests into ``path`` and return everything classified so far."""
     stream = classified_stream(requests, **options)
-    drain(stream.writeStream.outputMode("append").foreachBatch(into_folders(path)), checkpoint)
+    drain(requests.sparkSession, stream.writeStream.outputMode("append").foreachBatch(into_folders(path)), checkpoint)
     return requests.sparkSession.read.schema(stream.schema).parquet(path)

@@ -31,6 +31,6 @@ def count_arrived(calls: DataFrame, seconds: int, allowed: Sequence[str], path:
                   lateness: str | None = "1 day") -> DataFrame:
     """Count all arrived calls; of the updates of a window the last, largest one stands."""
     stream = window_count_stream(calls, seconds, allowed, lateness)
-    drain(stream.writeStream.outputMode("update").foreachBatch(into_folders(path)), checkpoint)
+    drain(calls.sparkSession, stream.writeStream.outputMode("update").foreachBatch(into_folders(path)), checkpoint)
     updates = calls.sparkSession.read.schema(stream.schema).parquet(path)
     return updates.groupBy("api_key", "window_id").agg(F.max("calls").alias("calls"))

@@ -105,7 +105,7 @@ def ledger_arrived(log: DataFrame, folders: LedgerFolders, notify: bool = True)
     def step(batch: DataFrame, batch_id: int) -> None:
         persist_batch(batch, batch_id, folders, notify)
 
-    drain(log.writeStream.foreachBatch(step), folders.checkpoint)
+    drain(spark, log.writeStream.foreachBatch(step), folders.checkpoint)
     return stored_ledger(spark, folders).select(*schemas.LEDGER.fieldNames())
 
 
@@ -113,5 +113,5 @@ def audit_arrived(log: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Append one document per arrived log record and return all documents."""
     good = log.filter(~F.col("undecodable"))
     docs = audit.documents(good, F.col("processed_at"))
-    drain(docs.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
+    drain(log.sparkSession, docs.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
     return log.sparkSession.read.schema(docs.schema).parquet(path)

@@ -4,20 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
-def rocksdb(spark) -> None:
+def rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def drain(writer: DataStreamWriter, checkpoint: str) -> None:
-    """Process everything that has arrived, then stop."""
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def drain(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> None:
+    """Process everything that has arrived, then stop.
+
+    Batches without data are off: none of the streams here waits for a timer, and a
+    wall-clock state would ask for one such batch after another and never stop.
+    """
+    before = spark.conf.get(EMPTY_BATCHES)
+    spark.conf.set(EMPTY_BATCHES, "false")
+    try:
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(EMPTY_BATCHES, before)
 
 
 def batch_folder(df: DataFrame, path: str, batch_id: int) -> None:
