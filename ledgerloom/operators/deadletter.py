@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..schemas import LOG_WIRE
+from ..sources.records import kept
 from .ledger import FAILED
 from .validate import first_failure, terminal_status
 
@@ -30,7 +31,7 @@ def classified_requests(decoded: DataFrame) -> DataFrame:
 
 def request_letters(classified: DataFrame) -> DataFrame:
     kind = F.when(F.col("undecodable"), "undecodable").otherwise("validation")
-    return dead_letter(classified.filter(F.col("reason").isNotNull()), fixed.REQUEST_STREAM,
+    return dead_letter(kept(classified, F.col("reason").isNotNull()), fixed.REQUEST_STREAM,
                        F.col("reason"), kind, F.col("value"), F.lit(0))
 
 

@@ -48,7 +48,7 @@ def hold(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], owne
 def _folded(df: DataFrame, keys, at, order, owner, ttl: int) -> DataFrame:
     entry = F.struct(F.unix_micros(at).alias("at"), *order,
                      F.col(owner).alias("owner"), F.struct(*df.columns).alias("row"))
-    grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
+    grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
     owner_type = df.schema[owner].dataType.simpleString()
     none = F.array().cast(f"array<struct<at:bigint,owner:{owner_type},acquired:boolean>>")
     start = F.struct(F.lit(None).cast("bigint").alias("at"),
@@ -65,7 +65,9 @@ def _folded(df: DataFrame, keys, at, order, owner, ttl: int) -> DataFrame:
                         F.concat(state["marks"], mark(state["at"], state["owner"], False)).alias("marks"))
         return F.when(free, taken).otherwise(kept)
 
-    marks = F.aggregate("_rows", start, step)["marks"]
+    only = F.get("_rows", F.lit(0))
+    marks = F.when(F.size("_rows") == 1, mark(only["at"], only["owner"], True)).otherwise(
+        F.aggregate("_rows", start, step)["marks"])
     flat = grouped.select(F.inline(F.arrays_zip(F.col("_rows").alias("r"), marks.alias("m"))))
     return flat.select(
         *[F.col("r")["row"][c].alias(c) for c in df.columns],

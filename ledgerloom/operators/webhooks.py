@@ -67,7 +67,7 @@ def payloads(events: DataFrame, counted: DataFrame | None = None, rows: int | No
             F.date_format("occurred_at", STAMP).alias("occurredAt")).alias("update"))
     grouped = (placed.withColumn("chunk_no", F.floor((F.col("_place") - 1) / chunk).cast("bigint"))
                .groupBy("callback_url", "chunk_no")
-               .agg(F.array_sort(F.collect_list(update)).alias("_updates")))
+               .agg(F.sort_array(F.collect_list(update)).alias("_updates")))
     return grouped.select(
         "callback_url", "chunk_no", F.size("_updates").cast("bigint").alias("updates"),
         F.to_json(F.col("_updates")["update"]).alias("payload"))

@@ -7,6 +7,8 @@ one scan each.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +77,15 @@ def valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid(requests(spark, sf_dir))
 
 
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(valid_requests(spark, sf_dir))
+# Columns the duplicate check itself reads, and those of a log event.
+CHECKED = ("seq", "delivery_no", "transaction_id", "idempotency_key", "created_at")
+LOGGED = (*CHECKED, "merchant_id", "account_id", "amount", "currency", "type", "callback_url", "correlation_id")
+TOLD = (*CHECKED, "callback_url", "correlation_id")
+
+
+def outcomes(spark: SparkSession, sf_dir: str, columns: Sequence[str] = LOGGED) -> DataFrame:
+    """Classified requests; only ``columns`` travel through the shuffle."""
+    return classify(valid_requests(spark, sf_dir).select(*columns))
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +107,9 @@ def persisted(spark: SparkSession, sf_dir: str) -> Persisted:
     return persist(delivered_log(spark, sf_dir))
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return persist(log(spark, sf_dir).withColumn("copy_no", F.lit(0))).inserted
+def eligible(events: DataFrame) -> DataFrame:
+    """Log rows an empty ledger takes when each event is delivered once."""
+    return persist(events.withColumn("copy_no", F.lit(0))).new
 
 
 def json_text(name: str, column: Column) -> Column:

@@ -86,12 +86,12 @@ def idempotency_first_wins(spark, sf):
 
 @query
 def idempotency_ttl(spark, sf):
-    return derive.outcomes(spark, sf).select(*KEYS, "idempotency_key", "outcome", "holder", "held_since")
+    return derive.outcomes(spark, sf, derive.CHECKED).select(*KEYS, "idempotency_key", "outcome", "holder", "held_since")
 
 
 @query
 def outcome_summary(spark, sf):
-    return idempotency.outcome_counts(derive.outcomes(spark, sf))
+    return idempotency.outcome_counts(derive.outcomes(spark, sf, derive.CHECKED))
 
 
 @query
@@ -101,7 +101,8 @@ def accepted_log(spark, sf):
 
 @query
 def account_sequence(spark, sf):
-    log = derive.log(spark, sf).select(*KEYS, "account_id", "processed_at")
+    done = derive.outcomes(spark, sf, (*derive.CHECKED, "account_id")).filter(F.col("outcome") == fixed.PROCESSED)
+    log = done.select(*KEYS, "account_id", F.col("created_at").alias("processed_at"))
     return idempotency.account_sequence(log, counted=derive.valid_requests(spark, sf))
 
 
@@ -131,8 +132,9 @@ def ledger_rows(spark, sf):
 
 
 def _with_existing(spark, sf) -> ledger.Persisted:
-    stored = ledger.persist(derive.log(spark, sf).withColumn("copy_no", F.lit(0))).new.filter(F.col("seq") % 10 == 9)
-    return ledger.persist(derive.delivered_log(spark, sf), stored)
+    log = derive.log(spark, sf)
+    stored = derive.eligible(log).filter(F.col("seq") % 10 == 9)
+    return ledger.persist(derive.redelivered(log), stored)
 
 
 @query
@@ -152,8 +154,8 @@ def log_batch_summary(spark, sf):
     return ledger.batch_summary(log.withColumn("batch_id", F.floor(F.col("seq") / fixed.LEDGER_BATCH_ROWS)))
 
 
-def _audit(spark, sf) -> DataFrame:
-    return audit.documents(derive.delivered_log(spark, sf), F.col("processed_at"))
+def _audit(log: DataFrame) -> DataFrame:
+    return audit.documents(derive.redelivered(log), F.col("processed_at"))
 
 
 def _money(documents: DataFrame) -> DataFrame:
@@ -162,41 +164,43 @@ def _money(documents: DataFrame) -> DataFrame:
 
 @query
 def audit_append(spark, sf):
-    return _money(_audit(spark, sf))
+    return _money(_audit(derive.log(spark, sf)))
 
 
 # Reconciliation and replay
 
-def _reduced_ledger(spark, sf) -> DataFrame:
-    new = ledger.persist(derive.log(spark, sf).withColumn("copy_no", F.lit(0))).new
-    return ledger.ledger_rows(new.filter(F.col("seq") % 53 != 7), F.col("processed_at"))
+def _reduced_ledger(log: DataFrame) -> DataFrame:
+    return ledger.ledger_rows(derive.eligible(log).filter(F.col("seq") % 53 != 7), F.col("processed_at"))
 
 
 @query
 def ledger_since(spark, sf):
-    return since(_reduced_ledger(spark, sf), RUN_AT, LOOKBACK_MINUTES).select("transaction_id", "processed_at")
+    return since(_reduced_ledger(derive.log(spark, sf)), RUN_AT, LOOKBACK_MINUTES).select("transaction_id", "processed_at")
 
 
 @query
 def audit_since(spark, sf):
-    return since(_audit(spark, sf), RUN_AT, LOOKBACK_MINUTES).select("id", "transaction_id", "processed_at")
+    return since(_audit(derive.log(spark, sf)), RUN_AT, LOOKBACK_MINUTES).select("id", "transaction_id", "processed_at")
 
 
 @query
 def reconcile_missing(spark, sf):
+    log = derive.log(spark, sf)
     return reconcile.missing_in_ledger(
-        since(_audit(spark, sf), RUN_AT, LOOKBACK_MINUTES), since(_reduced_ledger(spark, sf), RUN_AT, LOOKBACK_MINUTES))
+        since(_audit(log), RUN_AT, LOOKBACK_MINUTES), since(_reduced_ledger(log), RUN_AT, LOOKBACK_MINUTES))
 
 
 @query
 def reconcile_run(spark, sf):
-    return reconcile.run_row(_audit(spark, sf), _reduced_ledger(spark, sf), RUN_AT, LOOKBACK_MINUTES)
+    log = derive.log(spark, sf)
+    return reconcile.run_row(_audit(log), _reduced_ledger(log), RUN_AT, LOOKBACK_MINUTES)
 
 
 @query
 def reconcile_run_clean(spark, sf):
-    entered = _reduced_ledger(spark, sf)
-    covered = _audit(spark, sf).join(entered.select("transaction_id"), "transaction_id", "left_semi")
+    log = derive.log(spark, sf)
+    entered = _reduced_ledger(log)
+    covered = _audit(log).join(entered.select("transaction_id"), "transaction_id", "left_semi")
     return reconcile.run_row(covered, entered, RUN_AT, LOOKBACK_MINUTES)
 
 
@@ -226,9 +230,10 @@ def dead_letter_route(spark, sf):
 
 def _dispatch(spark, sf) -> DataFrame:
     invalid = derive.requests(spark, sf).filter(validate.first_failure().isNotNull())
+    done = derive.outcomes(spark, sf)
+    labelled = ledger.persist(derive.redelivered(idempotency.accepted_log(done))).labelled
     return webhooks.dispatch(
-        webhooks.outcome_updates(derive.outcomes(spark, sf)), webhooks.invalid_updates(invalid),
-        webhooks.ledger_updates(derive.persisted(spark, sf).labelled))
+        webhooks.outcome_updates(done), webhooks.invalid_updates(invalid), webhooks.ledger_updates(labelled))
 
 
 @query
@@ -248,7 +253,7 @@ def webhook_payloads(spark, sf):
 def webhook_batch_stats(spark, sf):
     batch = F.floor(F.col("seq") / fixed.WEBHOOK_BATCH_ROWS)
     invalid = derive.requests(spark, sf).filter(validate.first_failure().isNotNull())
-    updates = webhooks.outcome_updates(derive.outcomes(spark, sf)).unionByName(webhooks.invalid_updates(invalid))
+    updates = webhooks.outcome_updates(derive.outcomes(spark, sf, derive.TOLD)).unionByName(webhooks.invalid_updates(invalid))
     return webhooks.batch_stats(updates.withColumn("batch_id", batch))
 
 
@@ -298,9 +303,13 @@ def rate_limit_verdict(spark, sf):
         derive.READ_DEFAULT_LIMIT, derive.allowed_keys())
 
 
+def _ledger(new: DataFrame) -> DataFrame:
+    return ledger.ledger_rows(new, F.col("processed_at"))
+
+
 @query
 def status_lookup(spark, sf):
-    return access.status_lookup(derive.access_log(spark, sf), derive.ledger(spark, sf),
+    return access.status_lookup(derive.access_log(spark, sf), _ledger(derive.eligible(derive.log(spark, sf))),
                                 derive.owned_merchants(spark), derive.allowed_keys())
 
 
@@ -336,6 +345,7 @@ def _event_stream(spark, sf, bounded: bool = False) -> DataFrame:
 def idempotency_ttl_stream(spark, sf):
     root = fresh_path(spark, "idempotency")
     arrived = derive.from_events(_event_stream(spark, sf, bounded=True))
+    arrived = arrived.select(*derive.CHECKED, "amount", "account_id", "currency", "type")
     done = idempotency_stream.classify_arrived(arrived, f"{root}/classified", f"{root}/checkpoint")
     return done.select(*KEYS, "idempotency_key", "outcome", "holder", "held_since")
 

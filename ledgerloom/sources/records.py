@@ -53,6 +53,14 @@ def decoded(records: DataFrame, wire: dict[str, str], value: str = "value") -> D
     return parsed.select(*kept, *fields, _undecodable(wire).alias("undecodable"))
 
 
+def kept(df: DataFrame, test: Column) -> DataFrame:
+    """Rows passing ``test``, which stays above the parsing it reads.
+
+    A plain filter would be pushed below the parse and repeat it for every field it names.
+    """
+    return df.select(F.inline(F.when(test, F.array(F.struct(*df.columns)))))
+
+
 def _undecodable(wire: dict[str, str]) -> Column:
     broken = F.col("_json").isNull() | F.col("_json")[CORRUPT].isNotNull()
     enums = {"type": fixed.TRANSACTION_TYPES, "status": fixed.TRANSACTION_STATUSES}

@@ -39,7 +39,7 @@ class KeyHolds(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         # Rows of one key in a micro-batch come unordered; the source bounds their number.
         arrived = sorted(rows, key=lambda r: (r[_AT], *[r[c] for c in ARRIVAL]))
-        held = self.hold.get() if self.hold.exists() else None
+        held = self.hold.get()
         owner, since = (held[0], held[1]) if held else (None, None)
         changed = False
         for row in arrived:

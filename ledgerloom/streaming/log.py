@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .. import fixed, schemas
 from ..operators import audit, deadletter, webhooks
 from ..operators.ledger import INSERTED, ledger_rows, narrowed, persist
-from ..sources.records import decoded, encoded, record_stream
+from ..sources.records import decoded, encoded, kept, record_stream
 from .runs import batch_folder, drain
 
 POSITION = ("seq", "delivery_no", "copy_no", "source_partition")
@@ -79,9 +79,16 @@ def persist_batch(batch: DataFrame, batch_id: int, folders: LedgerFolders, notif
     The labels are computed and written once. Rows this batch stored in an earlier
     attempt are left out of the comparison, so a retry gives the same result.
     """
-    rows = batch.count()
-    if rows == 0:
-        return
+    batch = batch.persist()
+    try:
+        rows = batch.count()
+        if rows > 0:
+            _persist_rows(batch, rows, batch_id, folders, notify)
+    finally:
+        batch.unpersist()
+
+
+def _persist_rows(batch: DataFrame, rows: int, batch_id: int, folders: LedgerFolders, notify: bool) -> None:
     spark = batch.sparkSession
     good = batch.filter(~F.col("undecodable")).drop("undecodable", "value", "key")
     others = stored_ledger(spark, folders).filter(F.col("batch_id") != batch_id)
@@ -111,7 +118,7 @@ def ledger_arrived(log: DataFrame, folders: LedgerFolders, notify: bool = True)
 
 def audit_arrived(log: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Append one document per arrived log record and return all documents."""
-    good = log.filter(~F.col("undecodable"))
+    good = kept(log, ~F.col("undecodable"))
     docs = audit.documents(good, F.col("processed_at"))
     drain(log.sparkSession, docs.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
     return log.sparkSession.read.schema(docs.schema).parquet(path)
