@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +58,9 @@ def dispatch(*updates: DataFrame) -> DataFrame:
 
 
 def payloads(events: DataFrame, counted: DataFrame | None = None, rows: int | None = None,
-             chunk: int = fixed.WEBHOOK_BATCH_ROWS) -> DataFrame:
+             chunk: int = fixed.WEBHOOK_BATCH_ROWS, order: Sequence[str] = DISPATCH_ORDER) -> DataFrame:
     """Payloads of at most ``chunk`` updates per address, in stream order."""
-    placed = ranked(dispatchable(events), ["callback_url"], DISPATCH_ORDER, "_place", rows, counted)
+    placed = ranked(dispatchable(events), ["callback_url"], order, "_place", rows, counted)
     update = F.struct(
         "_place",
         F.struct(

@@ -13,6 +13,7 @@ from .. import fixed, schemas
 from ..functions.text import text_or
 from ..operators import access, audit, deadletter, idempotency, ingress, ledger, loadrun, reconcile, signatures
 from ..operators import validate, webhooks
+from ..operators.skew import window_rows
 from ..session import fresh_path, prepare
 from ..sources.records import decoded, record_stream
 from ..sources.tables import EVENTS, GIVEN, arriving_path, since
@@ -245,8 +246,7 @@ def webhook_dispatch(spark, sf):
 def webhook_payloads(spark, sf):
     # A request yields at most four notifications, so its address is hot from a quarter of the bound.
     counted = webhooks.dispatchable(derive.requests(spark, sf)).select("callback_url")
-    bound = ledger.BROADCAST_BATCH_ROWS
-    return webhooks.payloads(_dispatch(spark, sf), counted=counted, rows=bound)
+    return webhooks.payloads(_dispatch(spark, sf), counted=counted, rows=window_rows(counted) // 4)
 
 
 @query
@@ -346,7 +346,7 @@ def idempotency_ttl_stream(spark, sf):
     root = fresh_path(spark, "idempotency")
     arrived = derive.from_events(_event_stream(spark, sf, bounded=True))
     arrived = arrived.select(*derive.CHECKED, "amount", "account_id", "currency", "type")
-    done = idempotency_stream.classify_arrived(arrived, f"{root}/classified", f"{root}/checkpoint")
+    done = idempotency_stream.label_arrived(idempotency_stream.classified_stream(arrived), f"{root}/classified", f"{root}/checkpoint")
     return done.select(*KEYS, "idempotency_key", "outcome", "holder", "held_since")
 
 

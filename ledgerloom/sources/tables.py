@@ -56,7 +56,9 @@ def audit_table(spark: SparkSession, path: str, fmt: str = "parquet", **options)
 def since(df: DataFrame, run_at: datetime, lookback_minutes: int) -> DataFrame:
     """Rows processed in the look-back window; the lower bound is inside, there is no upper one."""
     bound = minutes_before(F.lit(run_at.isoformat(sep=" ")).cast("timestamp"), lookback_minutes)
-    return df.filter(F.col("processed_at") >= bound)
+    recent = df.filter(F.col("processed_at") >= bound)
+    # A store kept by day is pruned to the days of the window.
+    return recent.filter(F.col("processed_date") >= F.to_date(bound)) if "processed_date" in df.columns else recent
 
 
 def by_id(df: DataFrame, transaction_id: str) -> DataFrame:

@@ -18,6 +18,7 @@ from .runs import drain, into_folders, rocksdb
 
 _AT = "at_micros"
 HOLD_STATE = T.StructType([T.StructField("owner", T.StringType()), T.StructField("since", T.LongType())])
+MARGIN_HOURS = 24
 
 
 class KeyHolds(StatefulProcessor):
@@ -27,7 +28,8 @@ class KeyHolds(StatefulProcessor):
     evicted by wall clock, a margin after its hold can have lapsed.
     """
 
-    def __init__(self, ttl_seconds: int, margin_seconds: int, columns: Sequence[str]):
+    def __init__(self, ttl_seconds: int, margin_seconds: int, columns: Sequence[str], owner: str):
+        self.owner = owner
         self.ttl = ttl_seconds * 1_000_000
         self.keep_ms = (ttl_seconds + margin_seconds) * 1000
         self.columns = list(columns)
@@ -45,7 +47,7 @@ class KeyHolds(StatefulProcessor):
         for row in arrived:
             free = since is None or row[_AT] >= since + self.ttl
             if free:
-                owner, since, changed = row["transaction_id"], row[_AT], True
+                owner, since, changed = row[self.owner], row[_AT], True
             yield self.labelled(*[row[c] for c in self.columns], free, owner, since)
         if changed:
             self.hold.update((owner, since))
@@ -54,25 +56,34 @@ class KeyHolds(StatefulProcessor):
         pass
 
 
-def classified_stream(requests: DataFrame, ttl_hours: int = fixed.IDEMPOTENCY_TTL_HOURS,
-                      scope: Sequence[str] = ("idempotency_key",), margin_hours: int = 24) -> DataFrame:
-    """Streaming counterpart of ``operators.idempotency.classify``."""
-    rocksdb(requests.sparkSession)
-    good = valid(requests).withColumn(_AT, F.unix_micros("created_at")).drop("created_at")
-    out = T.StructType([*good.schema.fields, T.StructField(ACQUIRED, T.BooleanType()),
+def held_stream(rows: DataFrame, keys: Sequence[str], at: str, owner: str, ttl_seconds: int,
+                margin_seconds: int = MARGIN_HOURS * HOURS) -> DataFrame:
+    """Streaming counterpart of ``operators.hold.hold`` for a text ``owner``."""
+    rocksdb(rows.sparkSession)
+    timed = rows.withColumn(_AT, F.unix_micros(at)).drop(at)
+    out = T.StructType([*timed.schema.fields, T.StructField(ACQUIRED, T.BooleanType()),
                         T.StructField(HOLDER, T.StringType()), T.StructField("_since", T.LongType())])
-    held = good.groupBy(*scope).transformWithState(
-        statefulProcessor=KeyHolds(ttl_hours * HOURS, margin_hours * HOURS, good.columns),
+    held = timed.groupBy(*keys).transformWithState(
+        statefulProcessor=KeyHolds(ttl_seconds, margin_seconds, timed.columns, owner),
         outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
-    plain = [c for c in requests.columns if c != "created_at"]
-    return held.select(
-        *plain, F.timestamp_micros(_AT).alias("created_at"), ACQUIRED, HOLDER,
-        F.timestamp_micros("_since").alias(HELD),
-        outcome(F.col(ACQUIRED), F.col(HOLDER)).alias("outcome"))
-
-
-def classify_arrived(requests: DataFrame, path: str, checkpoint: str, **options) -> DataFrame:
-    """Classify all arrived requests into ``path`` and return everything classified so far."""
-    stream = classified_stream(requests, **options)
-    drain(requests.sparkSession, stream.writeStream.outputMode("append").foreachBatch(into_folders(path)), checkpoint)
-    return requests.sparkSession.read.schema(stream.schema).parquet(path)
+    return held.select(*[F.timestamp_micros(_AT).alias(c) if c == at else c for c in rows.columns],
+                       ACQUIRED, HOLDER, F.timestamp_micros("_since").alias(HELD))
+
+
+def classified_stream(requests: DataFrame, ttl_hours: int = fixed.IDEMPOTENCY_TTL_HOURS,
+                      scope: Sequence[str] = ("idempotency_key",)) -> DataFrame:
+    """Streaming counterpart of ``operators.idempotency.classify``."""
+    held = held_stream(valid(requests), scope, "created_at", "transaction_id", ttl_hours * HOURS)
+    return held.withColumn("outcome", outcome(F.col(ACQUIRED), F.col(HOLDER)))
+
+
+def guarded_nonces_stream(requests: DataFrame, ttl_minutes: int = fixed.NONCE_TTL_MINUTES) -> DataFrame:
+    """First use of a merchant's nonce within its time to live is ``acquired``."""
+    named = requests.withColumn("_delivery", F.concat_ws(":", *ARRIVAL))
+    return held_stream(named, ["merchant_id", "nonce"], "received_at", "_delivery", ttl_minutes * 60).drop("_delivery")
+
+
+def label_arrived(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Label everything that has arrived into ``path`` and return all rows labelled so far."""
+    drain(stream.sparkSession, stream.writeStream.outputMode("append").foreachBatch(into_folders(path)), checkpoint)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

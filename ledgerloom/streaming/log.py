@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed, schemas
 from ..operators import audit, deadletter, webhooks
-from ..operators.ledger import INSERTED, ledger_rows, narrowed, persist
-from ..sources.records import decoded, encoded, kept, record_stream
+from ..operators.ledger import INSERTED, ledger_rows, narrowed, persist, replayed
+from ..sources.records import decoded, encoded, kept, record_batch, record_stream
+from ..sources.sinks import publish_records
 from .runs import batch_folder, drain
 
+# What a topic calls partition and offset travels beside each record in these columns.
 POSITION = ("seq", "delivery_no", "copy_no", "source_partition")
 RECORD = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("value", T.StringType()),
@@ -24,7 +26,7 @@ RECORD = T.StructType([
 def publish(log: DataFrame, path: str) -> None:
     """Append log events as JSON records keyed by account."""
     placed = log.withColumn("source_partition", F.col("seq") % fixed.STREAM_PARTITIONS)
-    encoded(placed, schemas.LOG_WIRE, "account_id", POSITION).write.mode("append").parquet(path)
+    publish_records(encoded(placed, schemas.LOG_WIRE, "account_id", POSITION), path)
 
 
 def consume(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
@@ -116,6 +118,18 @@ def ledger_arrived(log: DataFrame, folders: LedgerFolders, notify: bool = True)
     return stored_ledger(spark, folders).select(*schemas.LEDGER.fieldNames())
 
 
+def replay(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> tuple[DataFrame, Observation]:
+    """Ledger rebuilt from the whole retained log, first record to last.
+
+    No notifications are sent again. The observation counts the records read once the
+    result has been written.
+    """
+    read = Observation("replay")
+    records = record_batch(spark, path, RECORD, fmt, **options).observe(read, F.count(F.lit(1)).alias("records"))
+    good = kept(decoded(records, schemas.LOG_WIRE), ~F.col("undecodable")).drop("undecodable", "value", "key")
+    return replayed(good), read
+
+
 def audit_arrived(log: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Append one document per arrived log record and return all documents."""
     good = kept(log, ~F.col("undecodable"))

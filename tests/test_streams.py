@@ -6,12 +6,18 @@ from decimal import Decimal
 from builders import T0, by_seq, log, log_event, request, requests
 from pyspark.sql import functions as F
 
+from ledgerloom import schemas
+from ledgerloom.operators import reconcile, webhooks
+from ledgerloom.operators.hold import hold
 from ledgerloom.operators.idempotency import classify
 from ledgerloom.operators.ledger import persist
 from ledgerloom.operators.validate import valid
+from ledgerloom.sources import sinks
 from ledgerloom.sources.records import record_stream
+from ledgerloom.sources.tables import by_id, since
 from ledgerloom.streaming import idempotency, limits
 from ledgerloom.streaming import log as log_stream
+from ledgerloom.streaming import webhooks as webhook_stream
 
 KEPT = ("outcome", "holder", "held_since")
 
@@ -24,10 +30,57 @@ def test_duplicates_over_several_batches(spark, tmp_path):
     for part in range(3):
         whole.filter(F.floor(F.col("seq") / 40) == part).write.mode("append").parquet(arrivals)
         stream = record_stream(spark, arrivals, whole.schema)
-        done = idempotency.classify_arrived(stream, out, checkpoint)
+        done = idempotency.label_arrived(idempotency.classified_stream(stream), out, checkpoint)
     assert by_seq(done, *KEPT) == by_seq(classify(valid(whole)), *KEPT)
 
 
+def test_nonces_on_a_stream(spark, tmp_path):
+    rows = [(n, 0, "m", f"n{n % 5}", T0 + timedelta(seconds=13 * n)) for n in range(60)]
+    whole = spark.createDataFrame(rows, "seq bigint, delivery_no int, merchant_id string, nonce string, received_at timestamp")
+    arrivals, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    for part in range(2):
+        whole.filter(F.floor(F.col("seq") / 30) == part).write.mode("append").parquet(arrivals)
+        stream = idempotency.guarded_nonces_stream(record_stream(spark, arrivals, whole.schema))
+        done = idempotency.label_arrived(stream, out, checkpoint)
+    same = hold(whole, ["merchant_id", "nonce"], "received_at", ["seq", "delivery_no"], "seq", 120)
+    assert by_seq(done, "acquired", "held_since") == by_seq(same, "acquired", "held_since")
+
+
+def test_payloads_of_the_dispatch_stream(spark, tmp_path):
+    updates = webhooks.outcome_updates(classify(requests(spark, *[
+        request(n, callback_url=" " if n % 4 == 0 else f"https://{n % 2}.example") for n in range(400)])))
+    path = str(tmp_path / "dispatch")
+    sinks.publish_webhooks(updates, path)
+    done = webhook_stream.payloads_arrived(
+        webhook_stream.consume(spark, path), str(tmp_path / "payloads"), str(tmp_path / "checkpoint"))
+    assert {(r["callback_url"], r["chunk_no"]): r["updates"] for r in done.collect()} == {
+        ("https://0.example", 0): 100, ("https://1.example", 0): 100, ("https://1.example", 1): 100}
+
+
+def test_replay_of_the_published_log(spark, tmp_path):
+    for path in published(spark, tmp_path, parts()):
+        pass
+    rebuilt, read = log_stream.replay(spark, path)
+    rows = rebuilt.collect()
+    assert sorted(rows) == sorted(persist(log(spark, *parts()[0], *parts()[1])).inserted.collect())
+    assert read.get["records"] == 6
+
+
+def test_reconciliation_of_the_stored_tables(spark, tmp_path):
+    folders, runs = log_stream.LedgerFolders(str(tmp_path / "consumer")), str(tmp_path / "runs")
+    for path in published(spark, tmp_path, parts()):
+        entered = log_stream.ledger_arrived(log_stream.consume(spark, path), folders)
+        docs = log_stream.audit_arrived(log_stream.consume(spark, path), str(tmp_path / "audit"), str(tmp_path / "cp"))
+        run = reconcile.run_row(docs, log_stream.stored_ledger(spark, folders), T0 + timedelta(minutes=1), 15)
+        sinks.append_run(run, runs)
+    found = spark.read.schema(schemas.RECONCILIATION_RUN).parquet(runs).orderBy("audit_count").collect()
+    assert [(r["audit_count"], r["ledger_count"], r["missing_in_ledger"]) for r in found] == [(3, 2, 1), (6, 3, 2)]
+    assert found[1]["notes"] == "Missing transactionIds in ledger: tx-2,tx-4"
+    assert by_id(entered, "tx-1").count() == 1
+    plan = since(log_stream.stored_ledger(spark, folders), T0, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(processed_date" in plan and "PushedFilters: [IsNotNull(processed_at)" in plan
+
+
 def test_window_counts_over_several_batches(spark, tmp_path):
     rows = [(n, "a" if n % 3 else None, "tx", T0 + timedelta(seconds=n)) for n in range(300)]
     whole = spark.createDataFrame(rows, "event_id bigint, api_key string, transaction_id string, ts timestamp")
