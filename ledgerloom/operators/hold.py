@@ -38,7 +38,7 @@ def hold(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], owne
     keys, order = list(keys), list(order)
     bound = setting(df.sparkSession, *FOLD_ROWS) if fold_rows is None else fold_rows
     ttl = ttl_seconds * 1_000_000
-    cold, hot = split_hot(df, keys, bound)
+    cold, hot, _ = split_hot(df, keys, bound)
     folded = _folded(cold, keys, at, order, owner, ttl)
     if hot is None:
         return folded
@@ -48,7 +48,8 @@ def hold(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], owne
 def _folded(df: DataFrame, keys, at, order, owner, ttl: int) -> DataFrame:
     entry = F.struct(F.unix_micros(at).alias("at"), *order,
                      F.col(owner).alias("owner"), F.struct(*df.columns).alias("row"))
-    grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+    # Rows move as they are: gathering per key before the shuffle would rarely join two.
+    grouped = df.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
     owner_type = df.schema[owner].dataType.simpleString()
     none = F.array().cast(f"array<struct<at:bigint,owner:{owner_type},acquired:boolean>>")
     start = F.struct(F.lit(None).cast("bigint").alias("at"),
@@ -91,7 +92,7 @@ def _links(moments: DataFrame, keys, ttl: int) -> DataFrame:
     """For each moment the first moment of its key at or after its expiry."""
     asks = moments.select(*keys, (F.col(AT) + ttl).alias("_p"), F.lit(0).alias("_kind"), AT)
     gives = moments.select(*keys, F.col(AT).alias("_p"), F.lit(1).alias("_kind"), AT)
-    cut = sliced(asks.unionByName(gives), [*keys, "_p", "_kind"], "expiries")
+    cut = sliced(asks.unionByName(gives), [*keys, "_p", "_kind"], 2 * moments.count(), "expiries")
     given = F.when(F.col("_kind") == 1, F.col("_p"))
     from_end = Window.partitionBy(*keys, SLICE).orderBy(F.desc("_p"), F.desc("_kind"))
     inside = cut.withColumn("_inside", F.last(given, ignorenulls=True).over(

@@ -29,7 +29,7 @@ def percentiles(df: DataFrame, column: str, quantiles: Sequence[float], names: S
     if distinct <= buffered:
         row = present.agg(F.percentile("_v", F.array(*[F.lit(q) for q in quantiles])).alias("_q"))
         return row.select(*[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-    counted = sliced(present.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), ["_v"], "percentile")
+    counted = sliced(present.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), ["_v"], distinct, "percentile")
     per_slice = counted.groupBy(SLICE).agg(F.sum("_n").alias("_total"))
     total = per_slice.agg(F.sum("_total").alias("n")).first()["n"]
     offsets = before_slice(per_slice.withColumn("_all", F.lit(0)), ["_all"], "_total", "_before").drop("_all")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ BROADCAST_KEYS = 10_000
 # Rows of one group a window task may sort (it spills); override per session.
 WINDOW_ROWS = ("ledgerloom.window.rows", 1_000_000)
 
+# Rows a slice of a hot group should have, and the most slices one sort is cut into; with
+# more rows than both allow, the slices grow and their sorts spill.
+SLICE_ROWS = 1_000_000
+MOST_SLICES = 20_000
+
 SLICE = "_slice"
 
 
@@ -27,8 +33,9 @@ def window_rows(df: DataFrame) -> int:
     return setting(df.sparkSession, *WINDOW_ROWS)
 
 
-def slices(df: DataFrame) -> int:
-    return setting(df.sparkSession, "spark.sql.shuffle.partitions", 200)
+def slices(df: DataFrame, rows: int) -> int:
+    least = setting(df.sparkSession, "spark.sql.shuffle.partitions", 200)
+    return max(least, min(MOST_SLICES, rows // SLICE_ROWS + 1))
 
 
 def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
@@ -40,40 +47,49 @@ def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame | None:
+class HotKeys(NamedTuple):
+    """Keys of the hot groups and how many rows these groups have together."""
+
+    keys: DataFrame
+    rows: int
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], rows: int) -> HotKeys | None:
     """Keys with more than ``rows`` rows; None if there are none.
 
     Counts combine before the shuffle, so the hot keys cost no more than the others.
     At most ``BROADCAST_KEYS`` keys reach the driver; a longer list stays a table.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counted.filter(F.col("_n") > rows).select(*keys)
+    hot = counted.filter(F.col("_n") > rows)
     found = hot.limit(BROADCAST_KEYS + 1).collect()
     if not found:
         return None
     if len(found) <= BROADCAST_KEYS:
-        return F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
-    return staged(hot, "hot-keys")
+        listed = df.sparkSession.createDataFrame(found, hot.schema).select(*keys)
+        return HotKeys(F.broadcast(listed), sum(r["_n"] for r in found))
+    table = staged(hot, "hot-keys")
+    return HotKeys(table.select(*keys), table.agg(F.sum("_n").alias("n")).first()["n"])
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], rows: int,
-              counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of hot ones (None if there are none).
+              counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of ordinary groups, rows of hot ones (None if there are none) and their number.
 
     ``counted`` may be a cheaper input with at least as many rows per key.
     """
     hot = hot_groups(df if counted is None else counted, keys, rows)
     if hot is None:
-        return df, None
-    return matched(df, hot, keys, "left_anti"), matched(df, hot, keys, "left_semi")
+        return df, None, 0
+    return matched(df, hot.keys, keys, "left_anti"), matched(df, hot.keys, keys, "left_semi"), hot.rows
 
 
-def sliced(df: DataFrame, order: Sequence[str], label: str) -> DataFrame:
-    """Rows cut into sorted ranges of about equal size, numbered in ``_slice``.
+def sliced(df: DataFrame, order: Sequence[str], rows: int, label: str) -> DataFrame:
+    """About ``rows`` rows cut into sorted ranges of about equal size, numbered in ``_slice``.
 
     Staged, because the ranges come from a sample and must not be drawn twice.
     """
-    ranged = df.repartitionByRange(slices(df), *order)
+    ranged = df.repartitionByRange(slices(df, rows), *order)
     return staged(ranged.withColumn(SLICE, F.spark_partition_id()), label)
 
 
@@ -88,12 +104,12 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
            rows: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Row number of every row within its key; ``order`` must be a total order."""
     keys, order = list(keys), list(order)
-    cold, hot = split_hot(df, keys, window_rows(df) if rows is None else rows, counted)
+    cold, hot, hot_rows = split_hot(df, keys, window_rows(df) if rows is None else rows, counted)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
     plain = cold.withColumn(name, number)
     if hot is None:
         return plain
-    cut = sliced(hot, keys + order, "rank")
+    cut = sliced(hot, keys + order, hot_rows, "rank")
     sizes = cut.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
     offsets = before_slice(sizes, keys, "_n", "_before")
     within = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order))

@@ -71,7 +71,8 @@ def stored_ledger(spark: SparkSession, folders: LedgerFolders) -> DataFrame:
 def _store(rows: DataFrame, folders: LedgerFolders, batch_id: int) -> None:
     """Write a batch's ledger rows by day; only the partitions of this batch are replaced."""
     parts = rows.withColumn("processed_date", F.to_date("processed_at")).withColumn("batch_id", F.lit(batch_id))
-    (parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # Even-sized files per day: a large day is split over tasks, small ones share one.
+    (parts.hint("rebalance", "processed_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("processed_date", "batch_id").parquet(folders.ledger))
 
 

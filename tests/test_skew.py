@@ -26,8 +26,8 @@ def test_ranked(hot, rows):
 
 def test_hot_list_beyond_the_broadcast_bound_stays_a_table(hot, monkeypatch):
     monkeypatch.setattr(skew, "BROADCAST_KEYS", 2)
-    cold, warm = skew.split_hot(hot, ["k"], 20)
-    assert cold.count() + warm.count() == 900
+    cold, warm, rows = skew.split_hot(hot, ["k"], 20)
+    assert cold.count() + rows == 900 and warm.count() == rows
     assert warm.groupBy("k").count().filter("count <= 20").count() == 0
     assert cold.groupBy("k").count().filter("count > 20").count() == 0
 
