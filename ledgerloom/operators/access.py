@@ -45,6 +45,11 @@ def effective(settings: DataFrame, defaults: dict[str, str | int]) -> DataFrame:
                            number("rate_window_seconds"), number("default_limit_per_window"))
 
 
+def for_tenants(tenants: DataFrame, settings: DataFrame) -> DataFrame:
+    """One row per tenant, with nulls where it has nothing stored."""
+    return tenants.select("tenant_id").join(settings, "tenant_id", "left")
+
+
 def admissible(allowed: Sequence[str]) -> Column:
     return ~blank(F.col("api_key")) & F.col("api_key").isin(*allowed)
 

@@ -375,4 +375,5 @@ def ledger_stream(spark, sf):
 def audit_stream(spark, sf):
     root = fresh_path(spark, "audit")
     log = log_stream.consume(spark, _published(spark, sf))
-    return _money(log_stream.audit_arrived(log, f"{root}/documents", f"{root}/checkpoint"))
+    documents = log_stream.audit_arrived(log, f"{root}/documents", f"{root}/checkpoint")
+    return _money(documents.drop("processed_date"))

@@ -65,6 +65,11 @@ RECONCILIATION_RUN = _fields(
     ("missing_in_ledger", _count), ("status", _text), ("notes", _text),
 )
 
+SETTINGS = _fields(
+    ("tenant_id", _count), ("api_keys", _text), ("rate_limits", _text), ("api_key_merchants", _text),
+    ("rate_window_seconds", _text), ("default_limit_per_window", _text),
+)
+
 ACCOUNT_KEY = ("account_id", "idempotency_key")
 
 

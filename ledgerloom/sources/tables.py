@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,24 @@ def stored(spark: SparkSession, schema: T.StructType, path: str, fmt: str = "par
     return reader.schema(schema).load(path)
 
 
+def stored_or_empty(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """A store that may not have been written yet."""
+    try:
+        return stored(spark, schema, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def settings_table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+    """Stored read-access settings; if they cannot be read there are none, and defaults apply."""
+    try:
+        return stored(spark, schemas.SETTINGS, path, fmt, **options)
+    except PySparkException:
+        return spark.createDataFrame([], schemas.SETTINGS)
+
+
 def ledger_table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     return stored(spark, schemas.LEDGER, path, fmt, **options)
 

@@ -39,12 +39,17 @@ class KeyHolds(StatefulProcessor):
         self.hold = handle.getValueState("hold", HOLD_STATE, ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        # Rows of one key in a micro-batch come unordered; the source bounds their number.
-        arrived = sorted(rows, key=lambda r: (r[_AT], *[r[c] for c in ARRIVAL]))
         held = self.hold.get()
         owner, since = (held[0], held[1]) if held else (None, None)
-        changed = False
-        for row in arrived:
+        # Rows under the present hold pass straight through. Only those beyond it must be
+        # put in order; the source bounds how many one micro-batch can bring.
+        beyond, changed = [], False
+        for row in rows:
+            if since is not None and row[_AT] < since + self.ttl:
+                yield self.labelled(*[row[c] for c in self.columns], False, owner, since)
+            else:
+                beyond.append(row)
+        for row in sorted(beyond, key=lambda r: (r[_AT], *[r[c] for c in ARRIVAL])):
             free = since is None or row[_AT] >= since + self.ttl
             if free:
                 owner, since, changed = row[self.owner], row[_AT], True

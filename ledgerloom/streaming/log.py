@@ -13,6 +13,7 @@ from ..operators import audit, deadletter, webhooks
 from ..operators.ledger import INSERTED, ledger_rows, narrowed, persist, replayed
 from ..sources.records import decoded, encoded, kept, record_batch, record_stream
 from ..sources.sinks import publish_records
+from ..sources.tables import stored_or_empty
 from .runs import batch_folder, drain
 
 # What a topic calls partition and offset travels beside each record in these columns.
@@ -65,7 +66,7 @@ LEDGER_PARTS = T.StructType([*schemas.LEDGER.fields, T.StructField("processed_da
 
 
 def stored_ledger(spark: SparkSession, folders: LedgerFolders) -> DataFrame:
-    return spark.read.schema(LEDGER_PARTS).parquet(folders.ledger)
+    return stored_or_empty(spark, LEDGER_PARTS, folders.ledger)
 
 
 def _store(rows: DataFrame, folders: LedgerFolders, batch_id: int) -> None:
@@ -109,8 +110,6 @@ def _persist_rows(batch: DataFrame, rows: int, batch_id: int, folders: LedgerFol
 def ledger_arrived(log: DataFrame, folders: LedgerFolders, notify: bool = True) -> DataFrame:
     """Persist everything that has arrived on the log and return the whole ledger."""
     spark = log.sparkSession
-    empty = spark.createDataFrame([], schemas.LEDGER)
-    empty.write.mode("append").parquet(folders.ledger)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         persist_batch(batch, batch_id, folders, notify)
@@ -132,8 +131,10 @@ def replay(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> t
 
 
 def audit_arrived(log: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Append one document per arrived log record and return all documents."""
+    """Append one document per arrived log record, by day, and return all documents."""
     good = kept(log, ~F.col("undecodable"))
     docs = audit.documents(good, F.col("processed_at"))
-    drain(log.sparkSession, docs.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
-    return log.sparkSession.read.schema(docs.schema).parquet(path)
+    by_day = docs.withColumn("processed_date", F.to_date("processed_at"))
+    sink = by_day.writeStream.format("parquet").partitionBy("processed_date").option("path", path)
+    drain(log.sparkSession, sink.outputMode("append"), checkpoint)
+    return stored_or_empty(log.sparkSession, by_day.schema, path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import clock, signing, text
 from ledgerloom.operators import access, loadrun, signatures
+from ledgerloom.sources.tables import settings_table
 
 SETTINGS = ("tenant_id bigint, api_keys string, rate_limits string, api_key_merchants string, "
             "rate_window_seconds string, default_limit_per_window string")
@@ -37,6 +38,16 @@ def test_effective_settings(spark):
     assert found == {0: ("d", "d:1", "d:m", 30, 120), 1: ("k", "k:2", "k:m", 1, 7), 2: ("d", "d:1", "d:m", 60, 1)}
 
 
+def test_defaults_where_nothing_is_stored(spark, tmp_path):
+    tenants = spark.createDataFrame([(0,), (1,)], "tenant_id bigint")
+    nothing = settings_table(spark, str(tmp_path / "absent"))
+    found = access.effective(access.for_tenants(tenants, nothing), DEFAULTS).collect()
+    assert {tuple(r)[1:] for r in found} == {("d", "d:1", "d:m", 60, 120)} and len(found) == 2
+    settings(spark, ("k", None, None, None, None)).write.parquet(str(tmp_path / "stored"))
+    some = settings_table(spark, str(tmp_path / "stored"))
+    assert sorted(r["api_keys"] for r in access.effective(access.for_tenants(tenants, some), DEFAULTS).collect()) == ["d", "k"]
+
+
 def test_whole_numbers(spark):
     df = spark.createDataFrame([("5",), ("+5",), ("-5",), ("5.0",), ("1e3",), ("2147483648",), ("",)], "v string")
     assert [r[0] for r in df.select(text.whole_number(F.col("v"))).collect()] == [5, 5, -5, None, None, None, None]
