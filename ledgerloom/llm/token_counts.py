@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, documents, map_arrow, whole_text
-from .vocabulary import PART_BYTES, WordCounter, opened, parts_by_bytes
+from .vocabulary import PART_BYTES, WordCounter, distinct, opened, parts_by_bytes
 
 LIMIT = 2048
 # A longer text is cut at white space, where the tokenizer separates words anyway.
@@ -48,12 +48,9 @@ def lengths_of(texts: pa.Array, counter: WordCounter) -> np.ndarray:
         texts = pa.array([p for c in cut for p in c], texts.type)
     total = np.zeros(len(sizes), np.int64)
     for a, b in parts_by_bytes(texts, PART_BYTES):
-        split = pc.ascii_split_whitespace(texts.slice(a, b - a))
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        coded = pc.dictionary_encode(split.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])))
-        counts = counter.counts(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        pieces, index, offsets = distinct(pc.ascii_split_whitespace(texts.slice(a, b - a)))
+        counts = counter.counts(pieces)[index]
         sums = np.concatenate([[0], np.cumsum(counts)])
-        offsets -= offsets[0]
         np.add.at(total, owner[a:b], sums[offsets[1:]] - sums[offsets[:-1]])
     return total
 
