@@ -55,7 +55,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     rolled = np.zeros(len(codes), np.uint64)
     for n in range(1, GRAMS[-1] + 1):
         shifted = np.zeros(len(codes), np.uint64)
-        shifted[:len(codes) - n + 1] = codes[n - 1:]
+        shifted[:max(0, len(codes) - n + 1)] = codes[n - 1:]
         rolled = rolled * np.uint64(0x100000001B3) + shifted + np.uint64(1)
         if n not in GRAMS:
             continue

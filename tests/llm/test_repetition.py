@@ -31,10 +31,10 @@ def plain(text):
     symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
     points = sum(len(w.decode()) for w in words)
     base_failed = n < 20 or 100 * covered(8) > 30 * n
-    longest = max(longest, default=0)
+    most = max(longest, default=0)
     kept = not (base_failed or covered(R.REPEAT_WORDS) > R.COVERED_SHARE * n
-                or longest > R.LONGEST_WORDS and longest > R.LONGEST_SHARE * n)
-    return (n, points, symbols, len(lines) - len(set(lines)), covered(8), base_failed, kept, covered(R.REPEAT_WORDS), longest)
+                or most > R.LONGEST_WORDS and most > R.LONGEST_SHARE * n)
+    return (n, points, symbols, len(lines) - len(set(lines)), covered(8), base_failed, kept, covered(R.REPEAT_WORDS), most)
 
 
 def texts_with_repeats(seed):
