@@ -4,6 +4,9 @@ The first row of a key acquires it for ``ttl``; rows arriving while it is held a
 duplicates and do not extend it; the first row at or after expiry acquires it anew.
 Whether a row acquires depends on the last acquisition, so this is a fold in time order.
 
+A null part of a key is a value like others. A row without a moment cannot be put in order:
+it acquires for itself alone, is held by none and holds none.
+
 Small groups fold inside one aggregate. In a hot group the acquisitions are found
 without ever bringing the group together: every distinct moment links to the first
 moment at or after its expiry, and the chain from the first moment is followed by
@@ -42,7 +45,10 @@ def hold(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], owne
     folded = _folded(cold, keys, at, order, owner, ttl)
     if hot is None:
         return folded
-    return folded.unionByName(_linked(hot, keys, at, order, owner, ttl))
+    timed = hot.filter(F.col(at).isNotNull())
+    alone = hot.filter(F.col(at).isNull()).select(
+        *df.columns, F.lit(True).alias(ACQUIRED), F.col(owner).alias(HOLDER), F.lit(None).cast("timestamp").alias(HELD))
+    return folded.unionByName(_linked(timed, keys, at, order, owner, ttl)).unionByName(alone)
 
 
 def _folded(df: DataFrame, keys, at, order, owner, ttl: int) -> DataFrame:
@@ -51,28 +57,27 @@ def _folded(df: DataFrame, keys, at, order, owner, ttl: int) -> DataFrame:
     # Rows move as they are: gathering per key before the shuffle would rarely join two.
     grouped = df.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
     owner_type = df.schema[owner].dataType.simpleString()
-    none = F.array().cast(f"array<struct<at:bigint,owner:{owner_type},acquired:boolean>>")
-    start = F.struct(F.lit(None).cast("bigint").alias("at"),
-                     F.lit(None).cast(owner_type).alias("owner"), none.alias("marks"))
-
-    def mark(since: Column, holder: Column, acquired: bool) -> Column:
-        return F.array(F.struct(since.alias("at"), holder.alias("owner"), F.lit(acquired).alias("acquired")))
+    # The fold carries only the acquisitions: which row, when, and whose.
+    none = F.array().cast(f"array<struct<i:int,at:bigint,owner:{owner_type}>>")
+    start = F.struct(F.lit(0).alias("i"), F.lit(None).cast("bigint").alias("at"), none.alias("holds"))
 
     def step(state: Column, row: Column) -> Column:
         free = state["at"].isNull() | (row["at"] >= state["at"] + ttl)
-        taken = F.struct(row["at"].alias("at"), row["owner"].alias("owner"),
-                         F.concat(state["marks"], mark(row["at"], row["owner"], True)).alias("marks"))
-        kept = F.struct(state["at"].alias("at"), state["owner"].alias("owner"),
-                        F.concat(state["marks"], mark(state["at"], state["owner"], False)).alias("marks"))
-        return F.when(free, taken).otherwise(kept)
+        taken = F.array(F.struct(state["i"].alias("i"), row["at"].alias("at"), row["owner"].alias("owner")))
+        return F.struct((state["i"] + 1).alias("i"), F.when(free, row["at"]).otherwise(state["at"]).alias("at"),
+                        F.when(free, F.concat(state["holds"], taken)).otherwise(state["holds"]).alias("holds"))
 
+    short = F.transform("_rows", lambda r: F.struct(r["at"].alias("at"), r["owner"].alias("owner")))
     only = F.get("_rows", F.lit(0))
-    marks = F.when(F.size("_rows") == 1, mark(only["at"], only["owner"], True)).otherwise(
-        F.aggregate("_rows", start, step)["marks"])
-    flat = grouped.select(F.inline(F.arrays_zip(F.col("_rows").alias("r"), marks.alias("m"))))
-    return flat.select(
+    single = F.array(F.struct(F.lit(0).alias("i"), only["at"].alias("at"), only["owner"].alias("owner")))
+    holds = F.when(F.size("_rows") == 1, single).otherwise(F.aggregate(short, start, step)["holds"])
+    held = grouped.withColumn("_holds", holds)
+    placed = held.select("_holds", F.posexplode("_rows").alias("_i", "r"))
+    # Rows come in order, so the hold of a row is the last that began at it or before.
+    own = F.element_at(F.filter("_holds", lambda h: h["i"] <= F.col("_i")), -1)
+    return placed.withColumn("m", own).select(
         *[F.col("r")["row"][c].alias(c) for c in df.columns],
-        F.col("m")["acquired"].alias(ACQUIRED),
+        (F.col("m")["i"] == F.col("_i")).alias(ACQUIRED),
         F.col("m")["owner"].alias(HOLDER),
         F.timestamp_micros(F.col("m")["at"]).alias(HELD),
     )
@@ -84,7 +89,7 @@ def _linked(hot: DataFrame, keys, at, order, owner, ttl: int) -> DataFrame:
     moments = staged(timed.groupBy(*keys, AT).agg(first), "moments")
     links = staged(_links(moments, keys, ttl), "links")
     holds = _chain(moments, links, keys)
-    owned = holds.join(moments, [*keys, AT])
+    owned = matched(holds, moments, [*keys, AT], "inner")
     return _labelled(timed, owned, keys, at, order, ttl, hot.columns, holds.count())
 
 
@@ -101,7 +106,7 @@ def _links(moments: DataFrame, keys, ttl: int) -> DataFrame:
     later = (Window.partitionBy(*keys).orderBy(F.desc(SLICE))
              .rowsBetween(Window.unboundedPreceding, -1))
     beyond = heads.withColumn("_beyond", F.min("_head").over(later)).drop("_head")
-    return (inside.join(beyond, [*keys, SLICE])
+    return (matched(inside, beyond, [*keys, SLICE], "inner")
             .select(*keys, AT, F.coalesce("_inside", "_beyond").alias(NEXT))
             .filter(F.col(NEXT).isNotNull()))
 
@@ -111,14 +116,14 @@ def _chain(moments: DataFrame, links: DataFrame, keys) -> DataFrame:
     reached = staged(moments.groupBy(*keys).agg(F.min(AT).alias(AT)), "reached")
     size = reached.count()
     while True:
-        onward = reached.join(links, [*keys, AT]).select(*keys, F.col(NEXT).alias(AT))
+        onward = matched(reached, links, [*keys, AT], "inner").select(*keys, F.col(NEXT).alias(AT))
         grown = staged(reached.unionByName(onward).distinct(), "reached")
         grown_size = grown.count()
         if grown_size == size:
             return reached
         reached, size = grown, grown_size
         there = links.select(*keys, F.col(AT).alias(NEXT), F.col(NEXT).alias("_after"))
-        links = staged(links.join(there, [*keys, NEXT])
+        links = staged(matched(links, there, [*keys, NEXT], "inner")
                        .select(*keys, AT, F.col("_after").alias(NEXT)), "links")
 
 

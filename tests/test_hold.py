@@ -83,3 +83,32 @@ def test_equals_the_fold_by_hand(spark, monkeypatch, fold_rows, ttl, broadcast):
     done = hold(requests(spark, *rows), ["idempotency_key"], "created_at", ["seq", "delivery_no"],
                 "transaction_id", ttl, fold_rows)
     assert by_seq(done, "acquired", "holder", "held_since") == brute_force(rows, ttl)
+
+
+def with_nulls(seed, rows=400):
+    """Skewed rows of which some lack a part of their key or their moment."""
+    rng = random.Random(seed)
+    return [r | {"merchant_id": rng.choice([None, "m"]), "created_at": rng.choice([None] + [r["created_at"]] * 9),
+                 "idempotency_key": rng.choice([None, r["idempotency_key"], r["idempotency_key"]])}
+            for r in skewed(seed, rows)]
+
+
+def brute_force_with_nulls(rows, ttl):
+    labels, groups = {}, {}
+    for r in rows:
+        if r["created_at"] is None:
+            labels[r["seq"]] = (True, r["transaction_id"], None)
+        else:
+            groups.setdefault((r["merchant_id"], r["idempotency_key"]), []).append(r)
+    for group in groups.values():
+        labels |= brute_force([r | {"idempotency_key": "one"} for r in group], ttl)
+    return labels
+
+
+@pytest.mark.parametrize("fold_rows", [0, 30, 10_000])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_null_keys_and_moments_on_every_path(spark, fold_rows, seed):
+    rows = with_nulls(seed)
+    done = hold(requests(spark, *rows), ["merchant_id", "idempotency_key"], "created_at", ["seq", "delivery_no"],
+                "transaction_id", 60, fold_rows)
+    assert by_seq(done, "acquired", "holder", "held_since") == brute_force_with_nulls(rows, 60)
