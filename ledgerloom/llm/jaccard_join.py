@@ -13,7 +13,9 @@ needs a cheaper rule publishes all its segments by that rule, so every stricter
 it.
 
 Only enough pairs are verified to settle who is connected: first each bucket's smallest
-member against the others, then all pairs of a bucket whose members are still apart.
+member against the others, then all pairs of a bucket whose members are still apart. Those
+pairs are gone through in blocks of a bounded number of members and dropped where the
+parity bitmaps of the two sets differ in more bits than linked sets may differ in shingles.
 """
 
 from __future__ import annotations
@@ -45,6 +47,9 @@ FLUSH = 2_000_000
 PER_PARTITION = 2_000_000
 # Copies of a signature within one flush beyond which only the smallest id is dealt out.
 LOCAL_GROUP = 8
+# Bits of a set's parity bitmap, and members of a bucket compared in one block.
+BITMAP_BITS = 1024
+BLOCK_MEMBERS = 2048
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -167,11 +172,21 @@ def signatures(values: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) -> t
 # Tables of the first job: documents, links already certain, pairs to verify, and members of
 # signatures with three or more.
 DOC, LINK, PAIR, MEMBER = 0, 1, 2, 3
-FOUND = "kind tinyint, a bigint, b bigint"
+FOUND = "kind tinyint, a bigint, b bigint, bits binary"
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> dict:
-    return {"kind": np.full(len(a), kind, np.int8), "a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64)}
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray | None = None) -> dict:
+    return {"kind": np.full(len(a), kind, np.int8), "a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64),
+            "bits": pa.nulls(len(a), pa.binary()) if bits is None else [x.tobytes() for x in bits]}
+
+
+def bitmaps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per set the parity of its shingles in each of the bitmap's places: two sets that differ
+    in D shingles differ in at most D bits."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = (values & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    odd = np.bincount(owner * BITMAP_BITS + place, minlength=len(sizes) * BITMAP_BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(len(sizes), BITMAP_BITS), axis=1)
 
 
 def _groups(sig: np.ndarray, ids: np.ndarray, sizes: np.ndarray, local: np.ndarray,
@@ -228,9 +243,9 @@ def _dealt(sig, ids, sizes, local, parts):
 PACKED = "part int, sig binary, ids binary, sizes binary, local binary, found binary"
 
 
-def _packed_found(rows: dict, salt: int) -> dict:
+def _packed_found(rows: dict, salt: int, bits: bytes | None = None) -> dict:
     packed = np.stack([rows["kind"].astype(np.int64), rows["a"], rows["b"]])
-    return {"part": [salt], "sig": [None], "ids": [None], "sizes": [None], "local": [None], "found": [packed.tobytes()]}
+    return {"part": [salt], "sig": [bits], "ids": [None], "sizes": [None], "local": [None], "found": [packed.tobytes()]}
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -300,7 +315,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 ids = batch.column("doc_id").slice(a, b - a).to_numpy()
                 values, sizes = shingle_sets(batch.column("text").slice(a, b - a))
                 edges = np.concatenate([[0], np.cumsum(sizes)])
-                yield _packed_found(_rows(DOC, ids, sizes), number)
+                yield _packed_found(_rows(DOC, ids, sizes), number, bitmaps(values, sizes).tobytes())
                 # Sets met before in this flush are linked to the first of them.
                 fresh, links = [], []
                 for k in range(len(ids)):
@@ -332,7 +347,8 @@ def candidates(docs: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 if row["found"] is not None:
                     kind, a, b = np.frombuffer(row["found"], np.int64).reshape(3, -1)
-                    yield {"kind": kind.astype(np.int8), "a": a, "b": b}
+                    bits = None if row["sig"] is None else np.frombuffer(row["sig"], np.uint8).reshape(len(a), -1)
+                    yield _rows(int(kind[0]), a, b, bits)
                 else:
                     held.append((np.frombuffer(row["sig"], np.uint64), np.frombuffer(row["ids"], np.int64),
                                  np.frombuffer(row["sizes"], np.uint32).astype(np.int64), np.frombuffer(row["local"], bool)))
@@ -385,6 +401,64 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return map_arrow(ordered, "a bigint, b bigint", work)
 
 
+def survivors(rows: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` of a bucket, from different components, that may be similar enough.
+
+    A large bucket is cut into blocks, and every two blocks meet in a task; nothing is dropped
+    that could be a link.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    met = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = met.select("sig", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
+                       "id", "own", "n", "bits")
+    ordered = dealt.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+
+    def work(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in ("sig", "low", "high")], 1)
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            held.append((key, *(batch.column(c).to_numpy() for c in ("id", "own", "n")), bits))
+            # The last group may go on in the next batch: it is kept back.
+            whole = [np.concatenate(x) for x in zip(*held)]
+            last = np.flatnonzero((whole[0] != whole[0][-1]).any(1))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            held = [tuple(x[cut:] for x in whole)]
+            if cut:
+                yield from _close(*(x[:cut] for x in whole))
+        if held:
+            yield from _close(*held[0])
+
+    return map_arrow(ordered, "a bigint, b bigint", work)
+
+
+def _close(key, ids, own, n, bits) -> Iterator[dict]:
+    """Pairs within groups of equal keys that neither sizes nor bitmaps exclude."""
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+    end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
+    left = np.arange(len(key))
+    out = [np.zeros((0, 2), np.int64)]
+    for shift in range(1, len(key)):
+        left = left[left + shift < end[left]]
+        if not len(left):
+            break
+        a, b = left, left + shift
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        maybe = (own[a] != own[b]) & (OF * small >= NEED * large)
+        a, b = a[maybe], b[maybe]
+        most = (n[a] + n[b]) * (OF - NEED) // (OF + NEED)
+        for words in (slice(0, 4), slice(0, None)):
+            near = np.bitwise_count(bits[a, words] ^ bits[b, words]).sum(1, dtype=np.int64) <= most
+            a, b, most = a[near], b[near], most[near]
+        if len(a):
+            out.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1))
+    both = np.unique(np.concatenate(out), axis=0)
+    yield {"a": both[:, 0], "b": both[:, 1]}
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """``doc_id``, size of its shingle set and the smallest ``doc_id`` of its component.
 
@@ -403,15 +477,11 @@ def joined(docs: DataFrame) -> DataFrame:
     placed = member.join(near, "id", "left").select(
         "sig", "id", F.coalesce("component_id", "id").alias("own"))
     placed = staged(placed, "members")
-    apart = placed.groupBy("sig").agg(F.min("own").alias("x"), F.max("own").alias("y")).filter("x <> y").select("sig")
-    sizes = kinds[DOC].select(F.col("a").alias("id"), F.col("b").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
-    open_rows = placed.join(apart, "sig", "left_semi").join(sizes, "id")
-    one = open_rows.select("sig", F.col("id").alias("a"), F.col("own").alias("own_a"), F.col("n").alias("n_a"))
-    two = open_rows.select("sig", F.col("id").alias("b"), F.col("own").alias("own_b"), F.col("n").alias("n_b"))
-    more = (one.join(two, "sig").filter(
-        (F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b"))
-        & (OF * F.least("n_a", "n_b") >= NEED * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
-        .join(pairs, ["a", "b"], "left_anti"))
+    apart = placed.groupBy("sig").agg(
+        F.min("own").alias("x"), F.max("own").alias("y"), F.count(F.lit(1)).alias("members")).filter("x <> y")
+    sets = found.filter(F.col("kind") == DOC).select(F.col("a").alias("id"), F.col("b").alias("n"), "bits")
+    open_rows = placed.join(apart.select("sig", "members"), "sig").join(sets.dropDuplicates(["id"]), "id")
+    more = staged(survivors(open_rows), "survivors").distinct().join(pairs, ["a", "b"], "left_anti")
     extra = staged(verified(docs, more), "links")
     if not extra.isEmpty():
         near = components(near.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(extra))

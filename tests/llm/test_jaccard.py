@@ -82,6 +82,7 @@ def test_components_against_all_pairs(make, monkeypatch, seed):
 
 def test_crowded_signatures(make, monkeypatch):
     monkeypatch.setattr(J, "LOCAL_GROUP", 2)
+    monkeypatch.setattr(J, "BLOCK_MEMBERS", 10)
     rng = random.Random(5)
     base = [f"w{k}" for k in range(60)]
     rows = [(i, edited(rng, base, rng.randrange(4))) for i in range(60)] + [(100 + i, " ".join(base)) for i in range(9)]
