@@ -39,8 +39,10 @@ def log_letters(labelled: DataFrame) -> DataFrame:
     body = F.to_json(
         F.struct(*[F.col(name).alias(field) for field, name in LOG_WIRE.items()]),
         {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"})
+    # The record as it was sent, where it is known.
+    sent = F.coalesce("value", body) if "value" in labelled.columns else body
     return dead_letter(labelled.filter(F.col("disposition") == FAILED), fixed.LOG_STREAM,
-                       F.col("reason"), F.lit("persistence"), body, F.col("copy_no"))
+                       F.col("reason"), F.lit("persistence"), sent, F.col("copy_no"))
 
 
 def undecodable_letters(broken: DataFrame, stream: str) -> DataFrame:

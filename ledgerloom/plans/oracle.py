@@ -18,8 +18,8 @@ def _text(name: str, value: str) -> str:
 
 def _holds(name: str, source: str, key: str, at: str, ttl: str, owner: str) -> dict[str, str]:
     """Parts that fold rows of a key in time order: numbered rows, acquisitions, labels."""
-    same = " AND ".join(f"n.{k} = a.{k}" for k in key.split(", "))
-    same_own = " AND ".join(f"own.{k} = m.{k}" for k in key.split(", "))
+    same = " AND ".join(f"n.{k} IS NOT DISTINCT FROM a.{k}" for k in key.split(", "))
+    same_own = " AND ".join(f"own.{k} IS NOT DISTINCT FROM m.{k}" for k in key.split(", "))
     prefixed = ", ".join(f"n.{k}" for k in key.split(", "))
     return {
         f"{name}_rows": f"""
@@ -89,6 +89,7 @@ PARTS: dict[str, str] = {
         FROM requests""",
     "valid_requests": "SELECT * FROM checked WHERE reject_reason IS NULL",
     **_holds("held", "valid_requests", "idempotency_key", "created_at", "INTERVAL 48 HOUR", "transaction_id"),
+    **_holds("scoped", "valid_requests", "merchant_id, idempotency_key", "created_at", "INTERVAL 48 HOUR", "transaction_id"),
     "outcomes": """
         SELECT *, CASE WHEN acquired THEN 'PROCESSED' WHEN transaction_id = holder THEN 'DUPLICATE_REPLAY'
                        ELSE 'DUPLICATE_REJECTED' END AS outcome FROM held""",
@@ -344,6 +345,10 @@ _STATEMENTS: dict[str, str] = {
                row_number() OVER (PARTITION BY idempotency_key ORDER BY created_at, seq, delivery_no) = 1 AS first
         FROM valid_requests """,
     "idempotency_ttl": "SELECT seq, delivery_no, idempotency_key, outcome, holder, held_since FROM outcomes ",
+    "idempotency_ttl_scoped": """
+        SELECT seq, delivery_no, merchant_id, idempotency_key,
+               CASE WHEN acquired THEN 'PROCESSED' WHEN transaction_id = holder THEN 'DUPLICATE_REPLAY'
+                    ELSE 'DUPLICATE_REJECTED' END AS outcome, holder, held_since FROM scoped """,
     "outcome_summary": "SELECT outcome, count(*) AS n FROM outcomes GROUP BY outcome",
     "accepted_log": "SELECT * FROM accepted ",
     "account_sequence": """
@@ -444,7 +449,23 @@ _STATEMENTS: dict[str, str] = {
                        p99_ms < 2000]) AS passed FROM load_row """,
 }
 for _stream, _batch in (("idempotency_ttl_stream", "idempotency_ttl"), ("rate_window_counts_stream", "rate_window_counts"),
-                        ("ledger_stream", "replay_rebuild_ledger"), ("audit_stream", "audit_append")):
+                        ("ledger_stream", "replay_rebuild_ledger"), ("audit_stream", "audit_append"),
+                        ("webhook_payloads_stream", "webhook_payloads")):
     _STATEMENTS[_stream] = _STATEMENTS[_batch]
+# The consumer of the dispatch stream sees the ledger's notifications, and orders them by what they carry.
+_STATEMENTS["webhook_payloads_stream"] = (_STATEMENTS["webhook_payloads_stream"]
+    .replace("ORDER BY occurred_at, seq, delivery_no, stage_no, copy_no", "ORDER BY occurred_at, event_id")
+    .replace("FROM dispatched ", "FROM (SELECT * FROM dispatched WHERE stage_no = 2) u "))
+# A consumer of a third of the log, then the rest: a transaction is judged against what is stored.
+_STATEMENTS["replay_into_ledger"] = f"""
+    WITH third AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id, idempotency_key
+                     ORDER BY processed_at, seq, delivery_no) AS place FROM accepted
+                     WHERE merchant_id IS NOT NULL AND seq % 3 = 0) t WHERE place = 1),
+    rest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id, idempotency_key
+                     ORDER BY processed_at, seq, delivery_no) AS place FROM accepted a
+                     WHERE merchant_id IS NOT NULL AND NOT EXISTS (
+                       SELECT 1 FROM third s WHERE s.account_id = a.account_id AND s.idempotency_key = a.idempotency_key)) t
+             WHERE place = 1)
+    SELECT {_LEDGER_COLUMNS} FROM third UNION ALL SELECT {_LEDGER_COLUMNS} FROM rest"""
 
 ORACLES: dict[str, str] = {name: _sql(statement) for name, statement in _STATEMENTS.items()}

@@ -20,6 +20,7 @@ from ..sources.tables import EVENTS, GIVEN, arriving_path, since
 from ..streaming import idempotency as idempotency_stream
 from ..streaming import limits as limits_stream
 from ..streaming import log as log_stream
+from ..streaming import webhooks as webhook_stream
 from . import derive
 
 RUN_AT = datetime(2024, 1, 31)
@@ -90,6 +91,14 @@ def idempotency_ttl(spark, sf):
     return derive.outcomes(spark, sf, derive.CHECKED).select(*KEYS, "idempotency_key", "outcome", "holder", "held_since")
 
 
+@query
+def idempotency_ttl_scoped(spark, sf):
+    """Keys of each merchant for itself; requests without a merchant are one merchant's."""
+    rows = derive.valid_requests(spark, sf).select(*derive.CHECKED, "merchant_id")
+    done = idempotency.classify(rows, scope=("merchant_id", "idempotency_key"))
+    return done.select(*KEYS, "merchant_id", "idempotency_key", "outcome", "holder", "held_since")
+
+
 @query
 def outcome_summary(spark, sf):
     return idempotency.outcome_counts(derive.outcomes(spark, sf, derive.CHECKED))
@@ -337,16 +346,16 @@ def load_thresholds(spark, sf):
 
 # Streams
 
-def _event_stream(spark, sf, bounded: bool = False) -> DataFrame:
-    return record_stream(spark, arriving_path(sf, EVENTS), GIVEN[EVENTS], bounded=bounded)
+def _event_stream(spark, sf) -> DataFrame:
+    return record_stream(spark, arriving_path(sf, EVENTS), GIVEN[EVENTS])
 
 
 @query
 def idempotency_ttl_stream(spark, sf):
     root = fresh_path(spark, "idempotency")
-    arrived = derive.from_events(_event_stream(spark, sf, bounded=True))
+    arrived = derive.from_events(_event_stream(spark, sf))
     arrived = arrived.select(*derive.CHECKED, "amount", "account_id", "currency", "type")
-    done = idempotency_stream.label_arrived(idempotency_stream.classified_stream(arrived), f"{root}/classified", f"{root}/checkpoint")
+    done = idempotency_stream.classified_arrived(arrived, root)
     return done.select(*KEYS, "idempotency_key", "outcome", "holder", "held_since")
 
 
@@ -371,6 +380,26 @@ def ledger_stream(spark, sf):
     return log_stream.ledger_arrived(log_stream.consume(spark, _published(spark, sf)), folders)
 
 
+@query
+def replay_into_ledger(spark, sf):
+    """A consumer that has seen part of the log; then the whole log, replayed into its ledger."""
+    folders, part = log_stream.LedgerFolders(fresh_path(spark, "ledger")), fresh_path(spark, fixed.LOG_STREAM)
+    log_stream.publish(derive.delivered_log(spark, sf).filter(F.col("seq") % 3 == 0), part)
+    log_stream.ledger_arrived(log_stream.consume(spark, part), folders)
+    rebuilt, _ = log_stream.replay_into(spark, _published(spark, sf), folders)
+    return rebuilt
+
+
+@query
+def webhook_payloads_stream(spark, sf):
+    """Notifications of the ledger consumer, grouped by the consumer of the dispatch stream."""
+    folders = log_stream.LedgerFolders(fresh_path(spark, "ledger"))
+    log_stream.ledger_arrived(log_stream.consume(spark, _published(spark, sf)), folders)
+    told = webhook_stream.consume(spark, folders.webhooks)
+    done = webhook_stream.payloads_arrived(told, f"{folders.root}/payloads", f"{folders.root}/payloads-checkpoint")
+    return done.select(*webhook_stream.PAYLOAD.fieldNames())
+
+
 @query
 def audit_stream(spark, sf):
     root = fresh_path(spark, "audit")

@@ -19,7 +19,7 @@ OFFSETS_PER_TRIGGER = 1_000_000
 
 
 def record_stream(spark: SparkSession, source: str, schema: T.StructType | None = None,
-                  fmt: str = "parquet", bounded: bool = False, **options) -> DataFrame:
+                  fmt: str = "parquet", bounded: bool = True, **options) -> DataFrame:
     """Unbounded reader: a folder of files, or a topic when ``fmt`` is ``kafka``.
 
     ``bounded`` limits a micro-batch; the rest follows in the next ones.

@@ -1,94 +1,148 @@
-"""Duplicate classification on a stream, one keyed state per idempotency key."""
+"""Duplicate classification on a stream: micro-batches folded onto a stored table of holds.
+
+A micro-batch meets the last hold of each of its keys and goes through the batch operator,
+hot keys included. Holds are kept by day of acquisition; only days that can still hold
+something for the batch's earliest row are read. Expiry is judged by event time alone, so
+neither a pause nor a backlog frees a key early.
+
+A row that arrives after a later row of its key has acquired the key cannot be judged any
+more: it goes to the late rows. Rows of one micro-batch may come in any order. A row without
+a moment acquires for itself, as in the batch operator.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import fixed
-from ..operators.hold import ACQUIRED, HELD, HOLDER
+from ..operators.hold import ACQUIRED, HELD, HOLDER, hold
 from ..operators.idempotency import ARRIVAL, HOURS, outcome
+from ..operators.skew import matched
 from ..operators.validate import valid
-from .runs import drain, into_folders, rocksdb
-
-_AT = "at_micros"
-HOLD_STATE = T.StructType([T.StructField("owner", T.StringType()), T.StructField("since", T.LongType())])
-MARGIN_HOURS = 24
-
-
-class KeyHolds(StatefulProcessor):
-    """Keeps the holder of a key and the event time it acquired the key.
-
-    Expiry is decided by event time, so no row is ever dropped as late. The state itself is
-    evicted by wall clock, a margin after its hold can have lapsed.
-    """
-
-    def __init__(self, ttl_seconds: int, margin_seconds: int, columns: Sequence[str], owner: str):
-        self.owner = owner
-        self.ttl = ttl_seconds * 1_000_000
-        self.keep_ms = (ttl_seconds + margin_seconds) * 1000
-        self.columns = list(columns)
-        self.labelled = Row(*columns, ACQUIRED, HOLDER, "_since")
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hold = handle.getValueState("hold", HOLD_STATE, ttlDurationMs=self.keep_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.hold.get()
-        owner, since = (held[0], held[1]) if held else (None, None)
-        # Rows under the present hold pass straight through. Only those beyond it must be
-        # put in order; the source bounds how many one micro-batch can bring.
-        beyond, changed = [], False
-        for row in rows:
-            if since is not None and row[_AT] < since + self.ttl:
-                yield self.labelled(*[row[c] for c in self.columns], False, owner, since)
-            else:
-                beyond.append(row)
-        for row in sorted(beyond, key=lambda r: (r[_AT], *[r[c] for c in ARRIVAL])):
-            free = since is None or row[_AT] >= since + self.ttl
-            if free:
-                owner, since, changed = row[self.owner], row[_AT], True
-            yield self.labelled(*[row[c] for c in self.columns], free, owner, since)
-        if changed:
-            self.hold.update((owner, since))
-
-    def close(self) -> None:
-        pass
-
-
-def held_stream(rows: DataFrame, keys: Sequence[str], at: str, owner: str, ttl_seconds: int,
-                margin_seconds: int = MARGIN_HOURS * HOURS) -> DataFrame:
-    """Streaming counterpart of ``operators.hold.hold`` for a text ``owner``."""
-    rocksdb(rows.sparkSession)
-    timed = rows.withColumn(_AT, F.unix_micros(at)).drop(at)
-    out = T.StructType([*timed.schema.fields, T.StructField(ACQUIRED, T.BooleanType()),
-                        T.StructField(HOLDER, T.StringType()), T.StructField("_since", T.LongType())])
-    held = timed.groupBy(*keys).transformWithState(
-        statefulProcessor=KeyHolds(ttl_seconds, margin_seconds, timed.columns, owner),
-        outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
-    return held.select(*[F.timestamp_micros(_AT).alias(c) if c == at else c for c in rows.columns],
-                       ACQUIRED, HOLDER, F.timestamp_micros("_since").alias(HELD))
-
-
-def classified_stream(requests: DataFrame, ttl_hours: int = fixed.IDEMPOTENCY_TTL_HOURS,
-                      scope: Sequence[str] = ("idempotency_key",)) -> DataFrame:
-    """Streaming counterpart of ``operators.idempotency.classify``."""
-    held = held_stream(valid(requests), scope, "created_at", "transaction_id", ttl_hours * HOURS)
-    return held.withColumn("outcome", outcome(F.col(ACQUIRED), F.col(HOLDER)))
+from ..sources.tables import stored_or_empty
+from .runs import PLACE_FIELDS, Place, batch_folder, drain
 
+DAY, SINCE, OWNER = "since_date", "_since", "_owner"
 
-def guarded_nonces_stream(requests: DataFrame, ttl_minutes: int = fixed.NONCE_TTL_MINUTES) -> DataFrame:
-    """First use of a merchant's nonce within its time to live is ``acquired``."""
-    named = requests.withColumn("_delivery", F.concat_ws(":", *ARRIVAL))
-    return held_stream(named, ["merchant_id", "nonce"], "received_at", "_delivery", ttl_minutes * 60).drop("_delivery")
+
+@dataclass(frozen=True)
+class HoldFolders:
+    """Where a classifying stream keeps its labelled rows, late rows, holds and progress."""
+
+    root: str
+
+    @property
+    def labelled(self) -> str:
+        return f"{self.root}/labelled"
+
+    @property
+    def late(self) -> str:
+        return f"{self.root}/late"
+
+    @property
+    def holds(self) -> str:
+        return f"{self.root}/holds"
+
+    @property
+    def checkpoint(self) -> str:
+        return f"{self.root}/checkpoint"
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Keys held from ``at`` for ``ttl_seconds`` in the name of ``owner``."""
+
+    keys: tuple[str, ...]
+    at: str
+    order: tuple[str, ...]
+    owner: str
+    ttl_seconds: int
+
+
+def _holds_schema(batch: DataFrame, rule: Rule) -> T.StructType:
+    return T.StructType([*[batch.schema[k] for k in rule.keys], T.StructField(SINCE, T.TimestampType()),
+                         T.StructField(OWNER, batch.schema[rule.owner].dataType),
+                         T.StructField(DAY, T.DateType()), *PLACE_FIELDS])
+
+
+def _last_holds(batch: DataFrame, rule: Rule, folders: HoldFolders, place: Place) -> DataFrame:
+    """The last hold of each key of the batch that can reach its earliest row, or lies after it."""
+    stored = stored_or_empty(batch.sparkSession, _holds_schema(batch, rule), folders.holds).filter(place.is_other())
+    first = batch.agg(F.min(rule.at)).first()[0]
+    if first is not None:
+        stored = stored.filter(F.col(DAY) >= F.lit((first - timedelta(seconds=rule.ttl_seconds)).date()))
+    mine = matched(stored, batch.select(*rule.keys).distinct(), rule.keys, "left_semi")
+    last = mine.groupBy(*rule.keys).agg(F.max(F.struct(SINCE, OWNER)).alias("_h"))
+    return last.select(*rule.keys, F.col("_h")[SINCE].alias(SINCE), F.col("_h")[OWNER].alias(OWNER))
 
 
-def label_arrived(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Label everything that has arrived into ``path`` and return all rows labelled so far."""
-    drain(stream.sparkSession, stream.writeStream.outputMode("append").foreachBatch(into_folders(path)), checkpoint)
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+def fold_batch(batch: DataFrame, rule: Rule, folders: HoldFolders, place: Place) -> None:
+    """Label a micro-batch, set its late rows aside and store the holds it acquires."""
+    holds = _last_holds(batch, rule, folders, place)
+    met = matched(batch, holds, rule.keys, "left")
+    is_late = F.coalesce(F.col(rule.at) < F.col(SINCE), F.lit(False))
+    batch_folder(met.filter(is_late).drop(SINCE, OWNER), folders.late, place)
+    # The stored hold goes before the rows of its moment and acquires its key again.
+    before = holds.select(*rule.keys, F.col(SINCE).alias(rule.at), F.col(OWNER).alias(rule.owner), F.lit(0).alias("_turn"))
+    rows = met.filter(~is_late).drop(SINCE, OWNER).withColumn("_turn", F.lit(1))
+    held = hold(rows.unionByName(before, allowMissingColumns=True), rule.keys, rule.at, ["_turn", *rule.order],
+                rule.owner, rule.ttl_seconds)
+    batch_folder(held.filter("_turn = 1").drop("_turn"), folders.labelled, place)
+    done = batch.sparkSession.read.parquet(place.folder(folders.labelled))
+    acquired = done.filter(F.col(ACQUIRED) & F.col(rule.at).isNotNull()).select(
+        *rule.keys, F.col(rule.at).alias(SINCE), F.col(rule.owner).alias(OWNER), F.to_date(rule.at).alias(DAY),
+        F.lit(place.run_id).alias("run_id"), F.lit(place.batch_id).alias("batch_id"))
+    (acquired.hint("rebalance", DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(DAY, "run_id", "batch_id").parquet(folders.holds))
+
+
+def held_arrived(rows: DataFrame, rule: Rule, folders: HoldFolders,
+                 then: Callable[[DataFrame, Place], None] | None = None) -> DataFrame:
+    """Streaming counterpart of ``operators.hold.hold``: label everything that has arrived and
+    return all rows labelled so far. ``then`` may work on the labels of each batch."""
+    spark = rows.sparkSession
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        place = Place.of(batch, batch_id)
+        if not batch.isEmpty():
+            fold_batch(batch, rule, folders, place)
+            if then:
+                then(batch.sparkSession.read.parquet(place.folder(folders.labelled)), place)
+
+    drain(spark, rows.writeStream.foreachBatch(step), folders.checkpoint)
+    return labelled_so_far(spark, rows.schema, rule, folders)
+
+
+def labelled_so_far(spark: SparkSession, schema: T.StructType, rule: Rule, folders: HoldFolders) -> DataFrame:
+    out = T.StructType([*schema.fields, T.StructField(ACQUIRED, T.BooleanType()),
+                        T.StructField(HOLDER, schema[rule.owner].dataType), T.StructField(HELD, T.TimestampType()),
+                        *PLACE_FIELDS])
+    return stored_or_empty(spark, out, folders.labelled).drop("run_id", "batch_id")
+
+
+def late_so_far(spark: SparkSession, schema: T.StructType, folders: HoldFolders) -> DataFrame:
+    """Rows that came too late to be judged."""
+    return stored_or_empty(spark, T.StructType([*schema.fields, *PLACE_FIELDS]), folders.late).drop("run_id", "batch_id")
+
+
+def key_rule(ttl_hours: int = fixed.IDEMPOTENCY_TTL_HOURS, scope: Sequence[str] = ("idempotency_key",)) -> Rule:
+    return Rule(tuple(scope), "created_at", ARRIVAL, "transaction_id", ttl_hours * HOURS)
+
+
+def classified_arrived(requests: DataFrame, root: str, ttl_hours: int = fixed.IDEMPOTENCY_TTL_HOURS,
+                       scope: Sequence[str] = ("idempotency_key",)) -> DataFrame:
+    """Streaming counterpart of ``operators.idempotency.classify`` over the valid requests."""
+    held = held_arrived(valid(requests), key_rule(ttl_hours, scope), HoldFolders(root))
+    return held.withColumn("outcome", outcome(F.col(ACQUIRED), F.col(HOLDER)))
+
+
+def guarded_nonces_arrived(requests: DataFrame, root: str, ttl_minutes: int = fixed.NONCE_TTL_MINUTES) -> DataFrame:
+    """First use of a merchant's nonce within its time to live is ``acquired``."""
+    rule = Rule(("merchant_id", "nonce"), "received_at", ARRIVAL, "seq", ttl_minutes * 60)
+    return held_arrived(requests, rule, HoldFolders(root))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,7 +15,7 @@ from ..operators.ledger import INSERTED, ledger_rows, narrowed, persist, replaye
 from ..sources.records import decoded, encoded, kept, record_batch, record_stream
 from ..sources.sinks import publish_records
 from ..sources.tables import stored_or_empty
-from .runs import batch_folder, drain
+from .runs import PLACE_FIELDS, Place, batch_folder, drain
 
 # What a topic calls partition and offset travels beside each record in these columns.
 POSITION = ("seq", "delivery_no", "copy_no", "source_partition")
@@ -62,22 +63,23 @@ class LedgerFolders:
 
 
 LEDGER_PARTS = T.StructType([*schemas.LEDGER.fields, T.StructField("processed_date", T.DateType()),
-                             T.StructField("batch_id", T.LongType())])
+                             *PLACE_FIELDS])
 
 
 def stored_ledger(spark: SparkSession, folders: LedgerFolders) -> DataFrame:
     return stored_or_empty(spark, LEDGER_PARTS, folders.ledger)
 
 
-def _store(rows: DataFrame, folders: LedgerFolders, batch_id: int) -> None:
+def _store(rows: DataFrame, folders: LedgerFolders, place: Place) -> None:
     """Write a batch's ledger rows by day; only the partitions of this batch are replaced."""
-    parts = rows.withColumn("processed_date", F.to_date("processed_at")).withColumn("batch_id", F.lit(batch_id))
+    parts = rows.withColumns({"processed_date": F.to_date("processed_at"), "run_id": F.lit(place.run_id),
+                              "batch_id": F.lit(place.batch_id)})
     # Even-sized files per day: a large day is split over tasks, small ones share one.
     (parts.hint("rebalance", "processed_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("processed_date", "batch_id").parquet(folders.ledger))
+     .partitionBy("processed_date", "run_id", "batch_id").parquet(folders.ledger))
 
 
-def persist_batch(batch: DataFrame, batch_id: int, folders: LedgerFolders, notify: bool = True) -> None:
+def persist_batch(batch: DataFrame, place: Place, folders: LedgerFolders, notify: bool = True) -> None:
     """Insert a micro-batch, then derive notifications and dead letters from its labels.
 
     The labels are computed and written once. Rows this batch stored in an earlier
@@ -87,24 +89,25 @@ def persist_batch(batch: DataFrame, batch_id: int, folders: LedgerFolders, notif
     try:
         rows = batch.count()
         if rows > 0:
-            _persist_rows(batch, rows, batch_id, folders, notify)
+            _persist_rows(batch, rows, place, folders, notify)
     finally:
         batch.unpersist()
 
 
-def _persist_rows(batch: DataFrame, rows: int, batch_id: int, folders: LedgerFolders, notify: bool) -> None:
+def _persist_rows(batch: DataFrame, rows: int, place: Place, folders: LedgerFolders, notify: bool) -> None:
     spark = batch.sparkSession
-    good = batch.filter(~F.col("undecodable")).drop("undecodable", "value", "key")
-    others = stored_ledger(spark, folders).filter(F.col("batch_id") != batch_id)
+    good = batch.filter(~F.col("undecodable")).drop("undecodable", "key")
+    others = stored_ledger(spark, folders).filter(place.is_other())
     labelled = persist(good, narrowed(others, good, rows)).labelled
-    batch_folder(labelled, folders.labelled, batch_id)
-    done = spark.read.schema(labelled.schema).parquet(f"{folders.labelled}/batch_id={batch_id}")
-    _store(ledger_rows(done.filter(F.col("disposition") == INSERTED), F.col("processed_at")), folders, batch_id)
+    batch_folder(labelled, folders.labelled, place)
+    done = spark.read.schema(labelled.schema).parquet(place.folder(folders.labelled))
+    _store(ledger_rows(done.filter(F.col("disposition") == INSERTED), F.col("processed_at")), folders, place)
     if notify:
-        batch_folder(webhooks.dispatch(webhooks.ledger_updates(done)), folders.webhooks, batch_id)
+        told = webhooks.dispatch(webhooks.ledger_updates(done))
+        batch_folder(encoded(told, schemas.WEBHOOK_WIRE, "callback_url"), folders.webhooks, place)
     broken = batch.filter("undecodable").withColumn("copy_no", F.col("copy_no").cast("int"))
     letters = deadletter.log_letters(done).unionByName(deadletter.undecodable_letters(broken, fixed.LOG_STREAM))
-    batch_folder(letters, folders.letters, batch_id)
+    batch_folder(letters, folders.letters, place)
 
 
 def ledger_arrived(log: DataFrame, folders: LedgerFolders, notify: bool = True) -> DataFrame:
@@ -112,7 +115,7 @@ def ledger_arrived(log: DataFrame, folders: LedgerFolders, notify: bool = True)
     spark = log.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        persist_batch(batch, batch_id, folders, notify)
+        persist_batch(batch, Place.of(batch, batch_id), folders, notify)
 
     drain(spark, log.writeStream.foreachBatch(step), folders.checkpoint)
     return stored_ledger(spark, folders).select(*schemas.LEDGER.fieldNames())
@@ -130,6 +133,19 @@ def replay(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> t
     return replayed(good), read
 
 
+def replay_into(spark: SparkSession, path: str, folders: LedgerFolders, fmt: str = "parquet",
+                **options) -> tuple[DataFrame, int]:
+    """The whole retained log put into a ledger that exists, and the number of records read.
+
+    It takes the way of a micro-batch, as a run of its own: what is stored is skipped, only
+    what is absent enters. No notifications are sent again.
+    """
+    records = decoded(record_batch(spark, path, RECORD, fmt, **options), schemas.LOG_WIRE)
+    place = Place(f"replay-{uuid.uuid4().hex}", 0)
+    persist_batch(records, place, folders, notify=False)
+    return stored_ledger(spark, folders).select(*schemas.LEDGER.fieldNames()), records.count()
+
+
 def audit_arrived(log: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Append one document per arrived log record, by day, and return all documents."""
     good = kept(log, ~F.col("undecodable"))

@@ -1,5 +1,6 @@
 """Streams give the rows of the batch operators, over several micro-batches and retries."""
 
+from dataclasses import dataclass
 from datetime import timedelta
 from decimal import Decimal
 
@@ -13,11 +14,12 @@ from ledgerloom.operators.idempotency import classify
 from ledgerloom.operators.ledger import persist
 from ledgerloom.operators.validate import valid
 from ledgerloom.sources import sinks
-from ledgerloom.sources.records import record_stream
+from ledgerloom.sources.records import decoded, record_stream
 from ledgerloom.sources.tables import by_id, since
 from ledgerloom.streaming import idempotency, limits
 from ledgerloom.streaming import log as log_stream
 from ledgerloom.streaming import webhooks as webhook_stream
+from ledgerloom.streaming.runs import Place
 
 KEPT = ("outcome", "holder", "held_since")
 
@@ -26,22 +28,21 @@ def test_duplicates_over_several_batches(spark, tmp_path):
     rows = [request(n, idempotency_key=f"k{n % 7}" if n % 3 else "hot", transaction_id=f"tx-{n - n % 2}",
                     amount=Decimal(-1 if n % 11 == 0 else 1), created_at=T0 + timedelta(hours=n)) for n in range(120)]
     whole = requests(spark, *rows).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
-    arrivals, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    arrivals, root = str(tmp_path / "in"), str(tmp_path / "root")
     for part in range(3):
         whole.filter(F.floor(F.col("seq") / 40) == part).write.mode("append").parquet(arrivals)
-        stream = record_stream(spark, arrivals, whole.schema)
-        done = idempotency.label_arrived(idempotency.classified_stream(stream), out, checkpoint)
+        done = idempotency.classified_arrived(record_stream(spark, arrivals, whole.schema), root)
+    assert idempotency.late_so_far(spark, whole.schema, idempotency.HoldFolders(root)).count() == 0
     assert by_seq(done, *KEPT) == by_seq(classify(valid(whole)), *KEPT)
 
 
 def test_nonces_on_a_stream(spark, tmp_path):
     rows = [(n, 0, "m", f"n{n % 5}", T0 + timedelta(seconds=13 * n)) for n in range(60)]
     whole = spark.createDataFrame(rows, "seq bigint, delivery_no int, merchant_id string, nonce string, received_at timestamp")
-    arrivals, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    arrivals, root = str(tmp_path / "in"), str(tmp_path / "root")
     for part in range(2):
         whole.filter(F.floor(F.col("seq") / 30) == part).write.mode("append").parquet(arrivals)
-        stream = idempotency.guarded_nonces_stream(record_stream(spark, arrivals, whole.schema))
-        done = idempotency.label_arrived(stream, out, checkpoint)
+        done = idempotency.guarded_nonces_arrived(record_stream(spark, arrivals, whole.schema), root)
     same = hold(whole, ["merchant_id", "nonce"], "received_at", ["seq", "delivery_no"], "seq", 120)
     assert by_seq(done, "acquired", "held_since") == by_seq(same, "acquired", "held_since")
 
@@ -110,7 +111,7 @@ def test_ledger_over_several_batches(spark, tmp_path):
         done = log_stream.ledger_arrived(log_stream.consume(spark, path), folders)
     whole = persist(log(spark, *parts()[0], *parts()[1]))
     assert sorted(done.collect()) == sorted(whole.inserted.collect())
-    told = spark.read.parquet(folders.webhooks)
+    told = decoded(spark.read.parquet(folders.webhooks), schemas.WEBHOOK_WIRE)
     assert sorted((r["transaction_id"], r["status"]) for r in told.collect()) == [
         ("tx-1", "PERSISTED"), ("tx-1", "PERSISTED"), ("tx-2", "FAILED"), ("tx-4", "FAILED")]
     letters = spark.read.parquet(folders.letters)
@@ -124,7 +125,8 @@ def test_retried_batch_changes_nothing(spark, tmp_path):
         before = log_stream.ledger_arrived(log_stream.consume(spark, path), folders).collect()
     second = log(spark, *parts()[1]).withColumn("source_partition", F.lit(0).cast("bigint"))
     batch = second.withColumns({"undecodable": F.lit(False), "value": F.lit(""), "key": F.lit("")})
-    log_stream.persist_batch(batch, 1, folders)
+    runs = spark.read.parquet(folders.labelled).filter("batch_id = 1").select("run_id").distinct().collect()
+    log_stream.persist_batch(batch, Place(runs[0][0], 1), folders)
     assert sorted(log_stream.stored_ledger(spark, folders).select(*before[0].__fields__).collect()) == sorted(before)
 
 
@@ -147,3 +149,74 @@ def test_audit_is_a_second_reader(spark, tmp_path):
     assert docs.count() == 6
     entered = log_stream.stored_ledger(spark, folders)
     assert entered.join(docs, "transaction_id", "left_anti").count() == 0
+
+
+def test_new_checkpoint_over_old_folders_loses_nothing(spark, tmp_path):
+    first, second = log_stream.LedgerFolders(str(tmp_path / "consumer")), str(tmp_path / "other")
+    for path in published(spark, tmp_path, parts()[:1]):
+        before = log_stream.ledger_arrived(log_stream.consume(spark, path), first).collect()
+    log_stream.publish(log(spark, log_event(1), log_event(7), log_event(8)), second)
+
+    @dataclass(frozen=True)
+    class Moved(log_stream.LedgerFolders):
+        @property
+        def checkpoint(self):
+            return str(tmp_path / "new-checkpoint")
+
+    after = log_stream.ledger_arrived(log_stream.consume(spark, second), Moved(first.root)).collect()
+    assert {r["transaction_id"] for r in after} == {r["transaction_id"] for r in before} | {"tx-7", "tx-8"}
+    assert len(after) == len(before) + 2
+
+
+def test_replay_into_a_ledger_adds_what_is_absent(spark, tmp_path):
+    folders = log_stream.LedgerFolders(str(tmp_path / "consumer"))
+    for path in published(spark, tmp_path, parts()[:1]):
+        log_stream.ledger_arrived(log_stream.consume(spark, path), folders)
+    told = spark.read.parquet(folders.webhooks).count()
+    for path in published(spark, tmp_path, parts()[1:]):
+        rows, read = log_stream.replay_into(spark, path, folders)
+    assert sorted(rows.collect()) == sorted(persist(log(spark, *parts()[0], *parts()[1])).inserted.collect())
+    assert read == 6 and spark.read.parquet(folders.webhooks).count() == told
+    again, _ = log_stream.replay_into(spark, path, folders)
+    assert sorted(again.collect()) == sorted(rows.collect())
+
+
+def test_holds_outlive_pauses_and_late_rows_are_set_aside(spark, tmp_path):
+    hours = {1: 0, 2: 100, 3: 47, 4: 101, 5: 400, 6: 120}
+    rows = {n: request(n, idempotency_key="k", transaction_id=f"tx-{n}", created_at=T0 + timedelta(hours=h)) for n, h in hours.items()}
+    arrivals, root = str(tmp_path / "in"), str(tmp_path / "root")
+    for part in ([1], [2], [3, 4], [5], [6]):
+        batch = requests(spark, *[rows[n] for n in part])
+        batch.write.mode("append").parquet(arrivals)
+        done = idempotency.classified_arrived(record_stream(spark, arrivals, batch.schema), root)
+    assert by_seq(done, "outcome") == {1: "PROCESSED", 2: "PROCESSED", 4: "DUPLICATE_REJECTED", 5: "PROCESSED"}
+    late = idempotency.late_so_far(spark, batch.schema, idempotency.HoldFolders(root))
+    assert sorted(r["seq"] for r in late.collect()) == [3, 6]
+
+
+def test_row_without_moment_on_a_stream(spark, tmp_path):
+    batch = requests(spark, request(1, idempotency_key="k", created_at=None), request(2, idempotency_key="k"))
+    batch.write.parquet(str(tmp_path / "in"))
+    done = idempotency.classified_arrived(record_stream(spark, str(tmp_path / "in"), batch.schema), str(tmp_path / "root"))
+    assert by_seq(done, *KEPT) == by_seq(classify(valid(batch)), *KEPT)
+
+
+def test_ledger_notifications_reach_the_dispatch_consumer(spark, tmp_path):
+    folders = log_stream.LedgerFolders(str(tmp_path / "consumer"))
+    for path in published(spark, tmp_path, parts()):
+        log_stream.ledger_arrived(log_stream.consume(spark, path), folders)
+    spark.createDataFrame([("https://a.example", "{")], webhook_stream.RECORD).write.parquet(
+        f"{folders.webhooks}/run_id=broken/batch_id=0")
+    out = str(tmp_path / "payloads")
+    done = webhook_stream.payloads_arrived(webhook_stream.consume(spark, folders.webhooks), out, str(tmp_path / "cp"))
+    assert sum(r["updates"] for r in done.collect()) == 4
+    letter = spark.read.parquet(webhook_stream.letters_path(out)).first()
+    assert (letter["topic"], letter["key"], letter["payload"]) == ("webhook_dispatch_dlt", "https://a.example", "{")
+
+
+def test_letters_carry_the_record_as_it_was_sent(spark, tmp_path):
+    path, folders = str(tmp_path / "log"), log_stream.LedgerFolders(str(tmp_path / "consumer"))
+    sent = '{"transactionId":"t","amount":12.34,"merchantId":null}'
+    spark.createDataFrame([("a", sent, 2, 0, 0, 3)], log_stream.RECORD).write.parquet(path)
+    log_stream.ledger_arrived(log_stream.consume(spark, path), folders)
+    assert spark.read.parquet(folders.letters).first()["payload"] == sent
