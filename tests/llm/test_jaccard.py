@@ -80,7 +80,9 @@ def test_components_against_all_pairs(make, monkeypatch, seed):
     assert got == brute(rows)
 
 
-def test_crowded_signatures(make, monkeypatch):
+@pytest.mark.parametrize("tries", [0, 1])
+def test_crowded_signatures(make, monkeypatch, tries):
+    monkeypatch.setattr(J, "FIRST_TRIES", tries)
     monkeypatch.setattr(J, "LOCAL_GROUP", 2)
     monkeypatch.setattr(J, "BLOCK_MEMBERS", 10)
     rng = random.Random(5)

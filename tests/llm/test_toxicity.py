@@ -24,7 +24,7 @@ def corpus(seed, n):
             word = rng.choice(rude)
             if rng.random() < 0.5:
                 at = rng.randrange(3, len(word))
-                word = word[:at] + rng.choice("xyz") + word[at + 1:]
+                word = word[:at] + rng.choice("xyzqwvjkp") + word[at + 1:]
             words[rng.randrange(80)] = word
         texts.append(" ".join(words))
         labels.append(int(toxic))
