@@ -25,11 +25,3 @@ def window_id(at: Column, seconds: int | Column) -> Column:
 
 def minutes_before(at: Column, minutes: int) -> Column:
     return at - F.make_dt_interval(mins=F.lit(minutes))
-
-
-def micros(at: Column) -> Column:
-    return F.unix_micros(at)
-
-
-def from_micros(value: Column) -> Column:
-    return F.timestamp_micros(value)

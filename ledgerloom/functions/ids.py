@@ -9,7 +9,9 @@ from .text import blank
 
 
 def derived_id(stage: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts], F.lit(stage)), 256)
+    # A null part leaves a mark of its own, so that rows that lack one do not share an id.
+    texts = [F.coalesce(p.cast("string"), F.lit("\0")) for p in parts]
+    return F.sha2(F.concat_ws(":", *texts, F.lit(stage)), 256)
 
 
 def correlation(given: Column, generated: Column) -> Column:

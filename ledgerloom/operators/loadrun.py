@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from .skew import SLICE, before_slice, sliced
 
-# Distinct values one aggregate buffer may hold for exact percentiles.
+# Distinct values one task may sort for exact percentiles.
 BUFFERED_VALUES = 1_000_000
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 NAMES = ("med_ms", "p90_ms", "p95_ms", "p99_ms")
@@ -20,24 +20,23 @@ def percentiles(df: DataFrame, column: str, quantiles: Sequence[float], names: S
                 buffered: int = BUFFERED_VALUES) -> DataFrame:
     """Exact interpolated percentiles as one row.
 
-    With few distinct values one buffer holds their counts. Otherwise the values are
-    counted, range-sorted into slices, and each wanted position is read from the slice
-    whose running count covers it.
+    Distinct values are counted, and each wanted position is read from the value whose
+    running count covers it. Many distinct values are range-sorted into slices first; the
+    positions and the interpolation are the same either way.
     """
     present = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v"))
-    distinct = present.agg(F.approx_count_distinct("_v").alias("n")).first()["n"]
-    if distinct <= buffered:
-        row = present.agg(F.percentile("_v", F.array(*[F.lit(q) for q in quantiles])).alias("_q"))
-        return row.select(*[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-    counted = sliced(present.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), ["_v"], distinct, "percentile")
-    per_slice = counted.groupBy(SLICE).agg(F.sum("_n").alias("_total"))
-    total = per_slice.agg(F.sum("_total").alias("n")).first()["n"]
-    offsets = before_slice(per_slice.withColumn("_all", F.lit(0)), ["_all"], "_total", "_before").drop("_all")
-    running = F.sum("_n").over(Window.partitionBy(SLICE).orderBy("_v")
-                               .rowsBetween(Window.unboundedPreceding, 0))
-    placed = (counted.withColumn("_within", running).join(F.broadcast(offsets), SLICE)
-              .withColumn("_end", F.col("_before") + F.col("_within"))
-              .withColumn("_start", F.col("_end") - F.col("_n")))
+    size = present.agg(F.approx_count_distinct("_v").alias("distinct"), F.count(F.lit(1)).alias("total")).first()
+    total, counted = size["total"], present.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    if size["distinct"] <= buffered:
+        ended = counted.withColumn("_end", F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        cut = sliced(counted, ["_v"], size["distinct"], "percentile")
+        per_slice = cut.groupBy(SLICE).agg(F.sum("_n").alias("_total")).withColumn("_all", F.lit(0))
+        offsets = before_slice(per_slice, ["_all"], "_total", "_before").drop("_all")
+        running = F.sum("_n").over(Window.partitionBy(SLICE).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+        ended = (cut.withColumn("_within", running).join(F.broadcast(offsets), SLICE)
+                 .withColumn("_end", F.col("_before") + F.col("_within")))
+    placed = ended.withColumn("_start", F.col("_end") - F.col("_n"))
 
     def at(position: int) -> Column:
         return F.max(F.when((F.col("_start") <= position) & (F.col("_end") > position), F.col("_v")))

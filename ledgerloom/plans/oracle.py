@@ -109,6 +109,22 @@ PARTS: dict[str, str] = {
                                        ORDER BY processed_at, seq, delivery_no) AS place
           FROM accepted WHERE merchant_id IS NOT NULL) t
         WHERE place = 1""",
+    # A consumer has seen a third of the log; then the whole log is judged against what it stored.
+    "seen_third": """
+        SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY account_id, idempotency_key
+                                       ORDER BY processed_at, seq, delivery_no) AS place
+          FROM accepted WHERE merchant_id IS NOT NULL AND seq % 3 = 0) t
+        WHERE place = 1""",
+    "entered_later": """
+        SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY account_id, idempotency_key
+                                       ORDER BY processed_at, seq, delivery_no) AS place
+          FROM accepted a
+          WHERE merchant_id IS NOT NULL AND NOT EXISTS (
+            SELECT 1 FROM seen_third s
+            WHERE s.account_id = a.account_id AND s.idempotency_key = a.idempotency_key)) t
+        WHERE place = 1""",
     # Ledger written from empty: the first copy of each eligible transaction enters.
     "labelled": """
         SELECT c.*, CASE WHEN violation IS NOT NULL OR e.transaction_id IS NULL THEN 'FAILED'
@@ -456,16 +472,7 @@ for _stream, _batch in (("idempotency_ttl_stream", "idempotency_ttl"), ("rate_wi
 _STATEMENTS["webhook_payloads_stream"] = (_STATEMENTS["webhook_payloads_stream"]
     .replace("ORDER BY occurred_at, seq, delivery_no, stage_no, copy_no", "ORDER BY occurred_at, event_id")
     .replace("FROM dispatched ", "FROM (SELECT * FROM dispatched WHERE stage_no = 2) u "))
-# A consumer of a third of the log, then the rest: a transaction is judged against what is stored.
-_STATEMENTS["replay_into_ledger"] = f"""
-    WITH third AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id, idempotency_key
-                     ORDER BY processed_at, seq, delivery_no) AS place FROM accepted
-                     WHERE merchant_id IS NOT NULL AND seq % 3 = 0) t WHERE place = 1),
-    rest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id, idempotency_key
-                     ORDER BY processed_at, seq, delivery_no) AS place FROM accepted a
-                     WHERE merchant_id IS NOT NULL AND NOT EXISTS (
-                       SELECT 1 FROM third s WHERE s.account_id = a.account_id AND s.idempotency_key = a.idempotency_key)) t
-             WHERE place = 1)
-    SELECT {_LEDGER_COLUMNS} FROM third UNION ALL SELECT {_LEDGER_COLUMNS} FROM rest"""
+_STATEMENTS["replay_into_ledger"] = (
+    f"SELECT {_LEDGER_COLUMNS} FROM seen_third UNION ALL SELECT {_LEDGER_COLUMNS} FROM entered_later ")
 
 ORACLES: dict[str, str] = {name: _sql(statement) for name, statement in _STATEMENTS.items()}

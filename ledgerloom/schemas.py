@@ -39,16 +39,6 @@ WEBHOOK_WIRE = {
     "status": "status", "correlationId": "correlation_id", "occurredAt": "occurred_at",
 }
 
-REQUEST = _fields(
-    ("event_id", _text), ("transaction_id", _text), ("idempotency_key", _text), ("merchant_id", _text),
-    ("account_id", _text), ("amount", MONEY), ("currency", _text), ("type", _text),
-    ("callback_url", _text), ("correlation_id", _text), ("created_at", _time),
-)
-LOG = _fields(
-    ("event_id", _text), ("transaction_id", _text), ("idempotency_key", _text), ("merchant_id", _text),
-    ("account_id", _text), ("amount", MONEY), ("currency", _text), ("type", _text), ("status", _text),
-    ("callback_url", _text), ("correlation_id", _text), ("processed_at", _time),
-)
 LEDGER = _fields(
     ("transaction_id", _text), ("idempotency_key", _text), ("merchant_id", _text), ("account_id", _text),
     ("amount", MONEY), ("currency", _text), ("type", _text), ("status", _text),
