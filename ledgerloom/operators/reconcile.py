@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.clock import minutes_before
+from ..session import staged
 from ..sources.tables import since
 from .skew import matched
 
@@ -29,7 +30,7 @@ def run_row(audit: DataFrame, ledger: DataFrame, run_at: datetime, lookback_minu
     def side(df: DataFrame, name: str) -> DataFrame:
         return since(df, run_at, lookback_minutes).groupBy(*ID).agg(F.count(F.lit(1)).alias(name))
 
-    both = side(audit, "_audited").join(side(ledger, "_entered"), ID, "full")
+    both = staged(side(audit, "_audited").join(side(ledger, "_entered"), ID, "full"), "reconciled")
     absent = F.col("_entered").isNull()
     counts = both.agg(
         F.coalesce(F.sum("_audited"), F.lit(0)).alias("_audited"),

@@ -14,7 +14,7 @@ from ..functions.text import text_or
 from ..operators import access, audit, deadletter, idempotency, ingress, ledger, loadrun, reconcile, signatures
 from ..operators import validate, webhooks
 from ..operators.skew import window_rows
-from ..session import fresh_path, prepare
+from ..session import fresh_path, prepare, staged
 from ..sources.records import decoded, record_stream
 from ..sources.tables import EVENTS, GIVEN, arriving_path, since
 from ..streaming import idempotency as idempotency_stream
@@ -141,8 +141,13 @@ def ledger_rows(spark, sf):
     return ledger.ledger_rows(fitting, F.col("processed_at"))
 
 
+def _stored_log(spark, sf) -> DataFrame:
+    """The accepted log, written once where a query reads it on several ways."""
+    return staged(derive.log(spark, sf), "accepted-log")
+
+
 def _with_existing(spark, sf) -> ledger.Persisted:
-    log = derive.log(spark, sf)
+    log = _stored_log(spark, sf)
     stored = derive.eligible(log).filter(F.col("seq") % 10 == 9)
     return ledger.persist(derive.redelivered(log), stored)
 
@@ -195,20 +200,20 @@ def audit_since(spark, sf):
 
 @query
 def reconcile_missing(spark, sf):
-    log = derive.log(spark, sf)
+    log = _stored_log(spark, sf)
     return reconcile.missing_in_ledger(
         since(_audit(log), RUN_AT, LOOKBACK_MINUTES), since(_reduced_ledger(log), RUN_AT, LOOKBACK_MINUTES))
 
 
 @query
 def reconcile_run(spark, sf):
-    log = derive.log(spark, sf)
+    log = _stored_log(spark, sf)
     return reconcile.run_row(_audit(log), _reduced_ledger(log), RUN_AT, LOOKBACK_MINUTES)
 
 
 @query
 def reconcile_run_clean(spark, sf):
-    log = derive.log(spark, sf)
+    log = _stored_log(spark, sf)
     entered = _reduced_ledger(log)
     covered = _audit(log).join(entered.select("transaction_id"), "transaction_id", "left_semi")
     return reconcile.run_row(covered, entered, RUN_AT, LOOKBACK_MINUTES)
@@ -223,7 +228,7 @@ def replay_rebuild_ledger(spark, sf):
 
 def _letters(spark, sf) -> DataFrame:
     records = deadletter.classified_requests(decoded(derive.raw_requests(spark, sf), schemas.REQUEST_WIRE))
-    labelled = derive.persisted(spark, sf).labelled.withColumn(
+    labelled = ledger.persist(derive.redelivered(_stored_log(spark, sf))).labelled.withColumn(
         "source_partition", F.col("seq") % fixed.STREAM_PARTITIONS)
     return deadletter.request_letters(records).unionByName(deadletter.log_letters(labelled))
 
@@ -240,7 +245,7 @@ def dead_letter_route(spark, sf):
 
 def _dispatch(spark, sf) -> DataFrame:
     invalid = derive.requests(spark, sf).filter(validate.first_failure().isNotNull())
-    done = derive.outcomes(spark, sf)
+    done = staged(derive.outcomes(spark, sf), "outcomes")
     labelled = ledger.persist(derive.redelivered(idempotency.accepted_log(done))).labelled
     return webhooks.dispatch(
         webhooks.outcome_updates(done), webhooks.invalid_updates(invalid), webhooks.ledger_updates(labelled))

@@ -7,7 +7,7 @@ import pytest
 
 SOURCE = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SOURCE), reason="no test tables")
-BATCH = sorted(n for n in entry.queries() if not n.endswith("_stream"))
+BATCH = sorted(n for n in entry.REGISTRY if not n.endswith("_stream"))
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas",
             "FlatMapGroupsInPandas", "CollectLimit")
 
