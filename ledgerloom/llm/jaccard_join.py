@@ -13,9 +13,10 @@ needs a cheaper rule publishes all its segments by that rule, so every stricter
 it.
 
 Only enough pairs are verified to settle who is connected: first each bucket's smallest
-member against the others, then all pairs of a bucket whose members are still apart. Those
-pairs are gone through in blocks of a bounded number of members and dropped where the
-parity bitmaps of the two sets differ in more bits than linked sets may differ in shingles.
+member against the others, then pairs of the buckets whose members are still apart, first a
+few for each member, and at last all that are left. Those pairs are gone through in blocks
+of a bounded number of members and dropped where the parity bitmaps of the two sets differ
+in more bits than linked sets may differ in shingles.
 """
 
 from __future__ import annotations
@@ -401,11 +402,15 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return map_arrow(ordered, "a bigint, b bigint", work)
 
 
-def survivors(rows: DataFrame) -> DataFrame:
+# Pairs of a member that are tried before all of them are.
+FIRST_TRIES = 2
+
+
+def survivors(rows: DataFrame, tries: int | None = None) -> DataFrame:
     """Pairs ``a`` < ``b`` of a bucket, from different components, that may be similar enough.
 
-    A large bucket is cut into blocks, and every two blocks meet in a task; nothing is dropped
-    that could be a link.
+    A large bucket is cut into blocks, and every two blocks meet in a task. With ``tries``
+    only so many are given for each member of a block (most connect it); without, all.
     """
     blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -428,19 +433,20 @@ def survivors(rows: DataFrame) -> DataFrame:
             cut = int(last[-1]) + 1 if len(last) else 0
             held = [tuple(x[cut:] for x in whole)]
             if cut:
-                yield from _close(*(x[:cut] for x in whole))
+                yield from _close(*(x[:cut] for x in whole), tries)
         if held:
-            yield from _close(*held[0])
+            yield from _close(*held[0], tries)
 
     return map_arrow(ordered, "a bigint, b bigint", work)
 
 
-def _close(key, ids, own, n, bits) -> Iterator[dict]:
+def _close(key, ids, own, n, bits, tries: int | None) -> Iterator[dict]:
     """Pairs within groups of equal keys that neither sizes nor bitmaps exclude."""
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
     end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
     left = np.arange(len(key))
     out = [np.zeros((0, 2), np.int64)]
+    tried = np.zeros(len(key), np.int64)
     for shift in range(1, len(key)):
         left = left[left + shift < end[left]]
         if not len(left):
@@ -453,6 +459,11 @@ def _close(key, ids, own, n, bits) -> Iterator[dict]:
         for words in (slice(0, 4), slice(0, None)):
             near = np.bitwise_count(bits[a, words] ^ bits[b, words]).sum(1, dtype=np.int64) <= most
             a, b, most = a[near], b[near], most[near]
+        if tries is not None:
+            wanted = (tried[a] < tries) | (tried[b] < tries)
+            a, b = a[wanted], b[wanted]
+            tried[a] += 1
+            tried[b] += 1
         if len(a):
             out.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1))
     both = np.unique(np.concatenate(out), axis=0)
@@ -472,19 +483,23 @@ def joined(docs: DataFrame) -> DataFrame:
     pairs = kinds[PAIR].distinct()
     links = staged(kinds[LINK].unionByName(verified(docs, pairs)), "links")
     near = staged(components(links), "near")
-    # Buckets whose members are still apart: all their pairs from different components.
     member = kinds[MEMBER].select(F.col("a").alias("sig"), F.col("b").alias("id")).distinct()
-    placed = member.join(near, "id", "left").select(
-        "sig", "id", F.coalesce("component_id", "id").alias("own"))
-    placed = staged(placed, "members")
-    apart = placed.groupBy("sig").agg(
-        F.min("own").alias("x"), F.max("own").alias("y"), F.count(F.lit(1)).alias("members")).filter("x <> y")
     sets = found.filter(F.col("kind") == DOC).select(F.col("a").alias("id"), F.col("b").alias("n"), "bits")
-    open_rows = placed.join(apart.select("sig", "members"), "sig").join(sets.dropDuplicates(["id"]), "id")
-    more = staged(survivors(open_rows), "survivors").distinct().join(pairs, ["a", "b"], "left_anti")
-    extra = staged(verified(docs, more), "links")
-    if not extra.isEmpty():
-        near = components(near.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(extra))
+    sets = sets.dropDuplicates(["id"])
+    tested = pairs
+    for tries in (FIRST_TRIES, None):
+        # Buckets whose members are still apart.
+        placed = staged(member.join(near, "id", "left").select(
+            "sig", "id", F.coalesce("component_id", "id").alias("own")), "members")
+        apart = placed.groupBy("sig").agg(
+            F.min("own").alias("x"), F.max("own").alias("y"), F.count(F.lit(1)).alias("members")).filter("x <> y")
+        open_rows = placed.join(apart.select("sig", "members"), "sig").join(sets, "id")
+        more = staged(survivors(open_rows, tries), "survivors").distinct().join(tested, ["a", "b"], "left_anti")
+        extra = staged(verified(docs, more), "links")
+        if not extra.isEmpty():
+            known = near.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+            near = staged(components(known.unionByName(extra)), "near")
+        tested = tested.unionByName(more)
     rows = kinds[DOC].select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     known = rows.join(near.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
