@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +27,17 @@ SETTINGS = {
 }
 
 
+# Where this package lies; Python workers on machines with that folder find it there, whatever
+# folder the session was started in. Elsewhere it has to be shipped (--py-files).
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def ready(spark: SparkSession) -> SparkSession:
     prepare(spark)
+    for_workers = spark.sparkContext.environment
+    listed = [p for p in for_workers.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in listed:
+        for_workers["PYTHONPATH"] = os.pathsep.join([*listed, ROOT])
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     return spark
