@@ -24,12 +24,12 @@ def settings(spark, *rows):
 
 def test_settings_texts(spark):
     df = settings(
-        spark, (" a, b ,,a,\t", "key-1:15,key-2:not-a-number", "missing,key-1:merchant-1||merchant-2,key-2:", None, None),
-        (None, "broken,key-1:,key-2:4,key-2:x,key-3:1,key-3:2", "k:a,k: | ,k:b|a", None, None), (" ", "a:b:3, c:5:6", "", None, None))
-    assert sorted(map(tuple, access.api_keys(df).collect())) == [(0, "a"), (0, "b")]
-    assert sorted(map(tuple, access.key_limits(df).collect())) == [(0, "key-1", 15), (1, "key-2", 4), (1, "key-3", 2)]
+        spark, (" red, blue ,,red,\t", "red:31,blue:many", "loose,red:shop-x||shop-y,blue:", None, None),
+        (None, "no colon,ash:,oak:4,oak:x,elm:1,elm:2", "k:a,k: | ,k:b|a", None, None), (" ", "a:b:3, c:5:6", "", None, None))
+    assert sorted(map(tuple, access.api_keys(df).collect())) == [(0, "blue"), (0, "red")]
+    assert sorted(map(tuple, access.key_limits(df).collect())) == [(0, "red", 31), (1, "elm", 2), (1, "oak", 4)]
     assert sorted(map(tuple, access.key_merchants(df).collect())) == [
-        (0, "key-1", "merchant-1"), (0, "key-1", "merchant-2"), (1, "k", "a"), (1, "k", "b")]
+        (0, "red", "shop-x"), (0, "red", "shop-y"), (1, "k", "a"), (1, "k", "b")]
 
 
 def test_effective_settings(spark):
