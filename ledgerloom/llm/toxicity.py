@@ -66,6 +66,27 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found_words), np.concatenate(found)
 
 
+# Words whose n-grams are taken at a time in training.
+CHUNK_WORDS = 20_000
+
+
+def frequent_subwords(words: list[str], texts_of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, bucket and share in its word of the n-grams in enough texts; chunks bound the memory."""
+    chunks = range(0, len(words), CHUNK_WORDS)
+    seen = np.zeros(1 << BUCKET_BITS)
+    for a in chunks:
+        word, gram = subwords(words[a:a + CHUNK_WORDS])
+        seen += np.bincount(gram, texts_of_word[a + word], len(seen))
+    frequent = seen >= LEAST_TEXTS
+    parts = []
+    for a in chunks:
+        word, gram = subwords(words[a:a + CHUNK_WORDS])
+        share = 1.0 / np.bincount(word)[word]
+        kept = frequent[gram]
+        parts.append((a + word[kept], gram[kept], share[kept]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct lower-case words of the texts, the word of every place, and places per text."""
     split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
@@ -89,17 +110,15 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
         only = float(labels[0]) if len(labels) else 0.0
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), 30.0 * (2 * only - 1))
     words, places, counts = words_of(pa.array(texts))
+    if not len(places):
+        share = [float((weights * (labels == k)).sum()) for k in (0, 1)]
+        return Model(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log(share[1] / share[0])))
     row = np.repeat(np.arange(len(texts)), counts)
     pair, times = np.unique(row * len(words) + places, return_counts=True)
     row, word = pair // len(words), pair % len(words)
     share = SCALE * times / counts[row]
-    gram_word, gram = subwords(words)
-    gram_share = 1.0 / np.bincount(gram_word, minlength=len(words))[gram_word]
     size = 1 << BUCKET_BITS
-    texts_of_word = np.bincount(word, minlength=len(words))
-    frequent = np.bincount(gram, texts_of_word[gram_word], size) >= LEAST_TEXTS
-    kept = frequent[gram]
-    gram_word, gram, gram_share = gram_word[kept], gram[kept], gram_share[kept]
+    gram_word, gram, gram_share = frequent_subwords(words, np.bincount(word, minlength=len(words)))
     rng = np.random.default_rng(0)
     vectors = (rng.standard_normal((size, WIDTH)) * 0.01).astype(np.float32)
     softmax = (rng.standard_normal((WIDTH, 2)) * 0.1).astype(np.float32)

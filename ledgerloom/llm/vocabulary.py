@@ -29,7 +29,7 @@ _UNSAFE = re.compile(f"^$|^\n?[{_SPACE}]|[{_SPACE}]$")
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 # Words a worker remembers; later new ones are encoded again in each batch.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 # Words sent to the tokenizer in one string, and bytes of text taken at a time.
 TOGETHER = 500
 PART_BYTES = 8 << 20
