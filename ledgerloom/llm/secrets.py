@@ -1,11 +1,14 @@
 """Secret scans: fixed patterns, and tokens too random to be text.
 
-Tokens of a length are taken for text until a battery of tests says otherwise: of how many
-pairs of characters are equal (the chi-squared statistic of uniformity, up to constants), the
-chance under the pair rate of text is the token's p-value. Discoveries are made within
-bands of equal length, by the false-discovery rule over all distinct tokens of the corpus,
-so that long tokens do not carry short ones. A discovery must also pass as random over the
-alphabet of its inferred encoding: chi-squared, runs and serial correlation.
+Tokens of a length are taken for text until a battery of tests says otherwise. Three tests
+compare the token with a text in its inferred encoding: how often it changes between cases,
+digits and signs (runs), whether a vowel follows a consonant (serial), and which letters it
+has (uniformity). Each is a ratio of likelihoods, random over text, given what the tests
+before it have seen; so their product is one too, and its inverse is a p-value that text has
+with no greater chance than its size (Markov's inequality), at any length. Discoveries are
+made within bands of equal length, by the false-discovery rule over all distinct tokens of
+the corpus, so that long tokens do not carry short ones. A discovery must also pass as random
+over the alphabet of its encoding: chi-squared, runs and serial correlation.
 
 Places come from SQL alone: what a pattern matches and what lies between the matches have
 lengths, and these add up.
@@ -13,6 +16,8 @@ lengths, and these add up.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +39,17 @@ ENCODINGS = (
     ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("^[A-Za-z0-9]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"))
-# Chance that two letters of a text in Latin script are equal, and three.
-PAIR_RATE, TRIPLE_RATE = 0.066, 0.0054
+# Text, by class of characters: what follows a lower-case letter, an upper-case letter, a
+# digit, a sign, and what comes first. Of classes that an encoding lacks, the rest take the share.
+CLASSES = "LUDS"
+FOLLOWS = {"L": (0.90, 0.03, 0.03, 0.04), "U": (0.45, 0.45, 0.03, 0.07), "D": (0.06, 0.06, 0.78, 0.10),
+           "S": (0.55, 0.15, 0.20, 0.10), "": (0.50, 0.20, 0.20, 0.10)}
+# Per mille of letters in texts of English, German, Spanish and French; shares of vowels after
+# a vowel, after a consonant and after what is no letter.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (
+    87, 14, 34, 47, 140, 14, 19, 30, 68, 4, 6, 45, 28, 76, 61, 19, 6, 66, 74, 68, 43, 12, 11, 4, 8, 5)))
+VOWELS = "aeiou"
+VOWEL_AFTER = (0.15, 0.50, 0.40)
 # Share of false discoveries within a band, and the largest deviation of the other tests.
 FALSE_SHARE = 0.01
 DEVIATIONS = 3.3
@@ -75,14 +89,55 @@ def places(rows: DataFrame) -> DataFrame:
             .select("row", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "token"))
 
 
-def _chance(z: Column) -> Column:
-    """Standard normal distribution function, to four places in its middle, falling on both ends."""
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), 1.5976 * z + 0.07056 * z * z * z))))
+def _kind(c: str) -> str:
+    """Class of a character, and whether it is a vowel."""
+    if not c.isalpha():
+        return "D" if c.isdigit() else "S"
+    return ("U" if c.isupper() else "L") + ("v" if c.lower() in VOWELS else "c")
+
+
+KINDS_OF = ("", "Lv", "Lc", "Uv", "Uc", "D", "S")
+
+
+def _text_chance(alphabet: str, last: str, c: str) -> float:
+    """Chance of a character after one of a kind in a text that has only this alphabet."""
+    kind = _kind(c)
+    present = {_kind(x)[0] for x in alphabet}
+    follows = FOLLOWS[last[:1]]
+    among = sum(f for k, f in zip(CLASSES, follows) if k in present)
+    chance = follows[CLASSES.index(kind[0])] / among
+    same = [x for x in alphabet if _kind(x)[0] == kind[0]]
+    if kind[0] not in "LU":
+        return chance / len(same)
+    alike = sum(LETTERS[x.lower()] for x in same if _kind(x) == kind)
+    vowel = VOWEL_AFTER[0 if last[1:] == "v" else 1 if last[1:] == "c" else 2]
+    if len(same) < len(LETTERS):  # without most letters, vowels and consonants do not alternate
+        vowel = sum(LETTERS[x] for x in same if x in VOWELS) / sum(LETTERS[x] for x in same)
+    return chance * (vowel if kind[1] == "v" else 1 - vowel) * LETTERS[c.lower()] / alike
+
+
+def _ratios(alphabet: str) -> list:
+    """Log-likelihood ratios, random over text, of each character after each kind. The first
+    of a row is for characters outside the alphabet, which count as signs."""
+    rows = []
+    for last in KINDS_OF:
+        known = [-log(len(alphabet) * _text_chance(alphabet, last, c)) for c in alphabet]
+        rows += [known[alphabet.index("-")] if "-" in alphabet else 0.0] + known
+    return rows
+
+
+def _doubles(values) -> str:
+    return f"array({', '.join(f'{v:.9f}D' for v in values)})"
+
+
+RATIOS = f"array({', '.join(_doubles(_ratios(a)) for _, a in ENCODINGS)})"
+KIND_AT = "array({})".format(", ".join("array({})".format(
+    ", ".join(str(KINDS_OF.index(k)) for k in ["S", *map(_kind, a)])) for _, a in ENCODINGS))
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """Statistics of distinct tokens: encoding, length, p-value against text, and deviations
-    from randomness over the encoding's alphabet by three tests."""
+    """Statistics of distinct tokens: encoding, length, p-value of all three tests against text,
+    and deviations from randomness over the encoding's alphabet by three tests."""
     encoding = F.lit(len(ENCODINGS) - 1)
     alphabet = F.lit(ENCODINGS[-1][1])
     for k in range(len(ENCODINGS) - 2, -1, -1):
@@ -99,24 +154,23 @@ def battery(tokens: DataFrame) -> DataFrame:
     # Equal pairs: in sorted order, the k-th of equal characters closes k - 1 of them.
     pairs = ("aggregate(array_sort(x), struct(-1D AS last, 0D AS run, 0D AS pairs), (s, c) -> struct(c AS last, "
              "if(c = s.last, s.run + 1D, 0D) AS run, s.pairs + if(c = s.last, s.run + 1D, 0D) AS pairs), s -> s.pairs)")
+    ratio = (f"aggregate(x, struct(0 AS last, 0D AS sum), (s, c) -> struct({KIND_AT}[encoding][cast(c AS int)] AS last, "
+             f"s.sum + {RATIOS}[encoding][s.last * (cast(size AS int) + 1) + cast(c AS int)] AS sum), s -> s.sum)")
     mean = "(aggregate(x, 0D, (s, c) -> s + c) / n)"
-    first = coded.select("*", F.expr(pairs).alias("equal"), F.expr(mean).alias("mean"), F.expr(
+    first = coded.select("*", F.expr(pairs).alias("equal"), F.expr(mean).alias("mean"), F.expr(ratio).alias("ratio"), F.expr(
         "aggregate(x, 0D, (s, c) -> s + if(c > size / 2, 1D, 0D))").alias("upper"))
     runs = "aggregate(zip_with(x, slice(x, 2, size(x)), (a, b) -> if((a > size / 2) <> (b > size / 2), 1D, 0D)), 1D, (s, c) -> s + coalesce(c, 0D))"
     products = "aggregate(zip_with(x, slice(x, 2, size(x)), (a, b) -> (a - mean) * (b - mean)), 0D, (s, c) -> s + coalesce(c, 0D))"
     squares = "aggregate(x, 0D, (s, c) -> s + (c - mean) * (c - mean))"
     second = first.select("*", F.expr(runs).alias("runs"), F.expr(products).alias("products"), F.expr(squares).alias("squares"))
     n, equal = F.col("n"), F.col("equal")
-    all_pairs = n * (n - 1) / 2
-    spread = F.sqrt(all_pairs * PAIR_RATE * (1 - PAIR_RATE)
-                    + 2 * all_pairs * (n - 2) * (TRIPLE_RATE - PAIR_RATE ** 2))
     k = F.col("size")
     chi = k / n * (2 * equal + n) - n
     lower = n - F.col("upper")
     expected = 2 * F.col("upper") * lower / n + 1
     runs_spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
     return second.select(
-        "token", "encoding", n.cast("int").alias("n"), _chance((equal - all_pairs * PAIR_RATE) / spread).alias("p"),
+        "token", "encoding", n.cast("int").alias("n"), F.exp(-F.greatest("ratio", F.lit(0.0))).alias("p"),
         ((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)).alias("z_uniform"),
         ((F.col("runs") - expected) / runs_spread).alias("z_runs"),
         F.when(F.col("squares") > 0, F.col("products") / F.col("squares") * F.sqrt(n)).otherwise(n).alias("z_serial"))

@@ -55,6 +55,35 @@ def test_random_tokens_are_found_and_words_are_not(make):
     assert sum(got[1000 + i] != "" for i in range(len(words))) <= 2
 
 
+def _words(rng, pieces, size):
+    made = ""
+    while len(made) < size:
+        made += rng.choice(pieces)
+    return made[:size]
+
+
+@pytest.mark.parametrize("size", [20, 24, 32])
+@pytest.mark.parametrize("alphabet, case, pieces", [
+    ("0123456789abcdef", "upper", ["2024", "0000", "1999", "FACADE", "DEAD", "BEEF", "CAFE", "31415"]),
+    ("0123456789abcdef", "mixed", ["2024", "0000", "1999", "facade", "Dead", "beef", "Cafe", "31415"]),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "upper", ["THE", "ATION", "RE", "ENTER", "STONE", "ING", "22", "THERE"]),
+    (string.ascii_letters + string.digits, "", ["the", "ation", "Re", "enter", "Stone", "ing", "2024", "there"])])
+def test_few_short_keys_of_every_encoding_among_text(llm, alphabet, case, pieces, size):
+    rng = random.Random(size)
+    cased = {"upper": str.upper, "mixed": lambda c: rng.choice([c, c.upper()]), "": str}[case]
+    keys = {"".join(cased(rng.choice(alphabet)) for _ in range(size)) for _ in range(60)}
+    texts = {_words(rng, pieces, size) for _ in range(540)} - keys
+    found = {r[0] for r in S.discovered(S.battery(llm.createDataFrame([(t,) for t in keys | texts], "token string"))).collect()}
+    assert len(found & keys) >= 48
+    assert len(found & texts) <= 3
+
+
+def test_text_has_small_p_values_no_oftener_than_they_say():
+    for _, alphabet in S.ENCODINGS:
+        for last in S.KINDS_OF:
+            assert sum(S._text_chance(alphabet, last, c) for c in alphabet) == pytest.approx(1)
+
+
 def test_empty_table_and_native_plan(make):
     assert S.scanned(make([])).count() == 0
     for df in (S.places(S.matched(make([(1, "a")]))), S.discovered(S.battery(make([(1, "a")]).selectExpr("text AS token")))):
