@@ -25,12 +25,13 @@ WINDOW = 8
 MOST_REPEATED_PERCENT = 30
 SYMBOLS = "[#*$%&|<>]"
 
-# The method's rule: repeats of at least so many words may cover this share of a text,
-# and the longest may have so many words and at once make up this share.
+# The method's rule: repeats of at least so many words may cover this share of a text, and
+# the longest may have so many words, whatever share that is: two copies of a passage cover
+# twice its share, so a share of its own would leave the limit nothing to reject in long texts.
 REPEAT_WORDS = 5
 COVERED_SHARE = 0.30
 LONGEST_WORDS = 64
-LONGEST_SHARE = 0.15
+LONGEST_SHARE = 0.0
 
 
 class Repeats(NamedTuple):

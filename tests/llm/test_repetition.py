@@ -57,6 +57,18 @@ def test_against_comparing_all_suffixes(make, seed):
     assert sorted(got, key=key) == sorted([(i, *plain(t)) for i, t in rows], key=key)
 
 
+@pytest.mark.parametrize("passage, size, kept", [(70, 500, False), (65, 20_000, False), (5000, 40_000, False),
+                                                 (64, 500, True), (64, 20_000, True)])
+def test_two_copies_of_a_passage_fail_by_their_length_alone(make, passage, size, kept):
+    words = [f"w{i}" for i in range(size - passage)]
+    at = size // 2
+    text = " ".join(words[:at + passage] + ["between"] + words[at:])
+    got = R.repetition(make([(1, text)])).collect()[0]
+    assert (got["repeat_longest"], got["repeat_covered"]) == (passage, 2 * passage)
+    assert got["repeat_covered"] < R.COVERED_SHARE * got["n_words"] and not got["base_failed"]
+    assert got["kept"] == kept
+
+
 def test_texts_do_not_repeat_each_other():
     words = np.array([1, 2, 3, 1, 2, 3])
     assert R.repeats(words, np.array([3, 3])).longest.tolist() == [0] * 6
