@@ -195,26 +195,32 @@ def _groups(sig: np.ndarray, ids: np.ndarray, sizes: np.ndarray, local: np.ndarr
     """Pairs with the smallest member of each signature, and members of the larger groups.
 
     ``local`` marks ids that stand for more of the same flush. With ``fold``, groups of the
-    same members (and none that is local) are given once.
+    same members (and none that is local) are given once. An id may have rows of several
+    texts: its pairs are given if any two sizes between the smallest and largest allow it.
     """
-    order = np.lexsort((ids, sig))
+    order = np.lexsort((sizes, ids, sig))
     sig, ids, sizes, local = sig[order], ids[order], sizes[order], local[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
-    keep_local = np.maximum.reduceat(local, np.flatnonzero(new)) if len(sig) else local
-    sig, ids, sizes, local = sig[new], ids[new], sizes[new], keep_local
+    if not len(sig):
+        return
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(sig)) - 1
+    keep_local = np.maximum.reduceat(local, starts)
+    # For groups of the same members, an id with other sizes is another member.
+    sig, ids, least, most, local = sig[new], ids[new], sizes[starts], sizes[ends], keep_local
+    members = mixed(mixed(mixed(ids.astype(np.uint64)) + least.astype(np.uint64)) + most.astype(np.uint64))
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
     at = np.flatnonzero(first)
-    if not len(at):
-        return
     count = np.diff(np.append(at, len(sig)))
     lead = np.repeat(at, count)
     many = np.repeat(count, count) >= 2
-    wide = np.repeat(count >= 3, count)
+    # What a flush holds of a signature may meet more elsewhere.
+    wide = np.repeat(count >= (3 if fold else 2), count)
     any_local = np.maximum.reduceat(local, at)
     if fold:
-        mark = np.add.reduceat(mixed(ids.astype(np.uint64)), at) + count.astype(np.uint64)
+        mark = np.add.reduceat(members, at) + count.astype(np.uint64)
         mark = np.where(any_local, sig[at], mark)
         _, once = np.unique(mark, return_index=True)
         kept = np.zeros(len(at), bool)
@@ -223,7 +229,7 @@ def _groups(sig: np.ndarray, ids: np.ndarray, sizes: np.ndarray, local: np.ndarr
         many, wide = many & kept, wide & kept
     wide |= np.repeat(any_local, count)
     a, b = ids[lead], ids
-    small, large = np.minimum(sizes[lead], sizes), np.maximum(sizes[lead], sizes)
+    small, large = np.minimum(most[lead], most), np.maximum(least[lead], least)
     pair = many & ~first & (OF * small >= NEED * large)
     both = np.unique(np.stack([a[pair], b[pair]], 1), axis=0)
     yield _rows(PAIR, both[:, 0], both[:, 1])
@@ -485,7 +491,8 @@ def joined(docs: DataFrame) -> DataFrame:
     near = staged(components(links), "near")
     member = kinds[MEMBER].select(F.col("a").alias("sig"), F.col("b").alias("id")).distinct()
     sets = found.filter(F.col("kind") == DOC).select(F.col("a").alias("id"), F.col("b").alias("n"), "bits")
-    sets = sets.dropDuplicates(["id"])
+    # Texts of one id each have a size and bitmap of their own; any of them may pass.
+    sets = sets.dropDuplicates(["id", "n", "bits"])
     tested = pairs
     for tries in (FIRST_TRIES, None):
         # Buckets whose members are still apart.

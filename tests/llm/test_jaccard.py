@@ -91,6 +91,37 @@ def test_crowded_signatures(make, monkeypatch, tries):
     assert sorted(tuple(r) for r in J.joined(make(rows)).collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("sig, ids, sizes", [([1, 1, 1], [3, 3, 9], [10, 100, 100]), ([1, 1, 1], [3, 3, 9], [100, 10, 100]),
+                                             ([1, 1, 2, 2], [3, 9, 3, 9], [10, 100, 100, 100])])
+def test_any_size_of_an_id_gives_its_pairs(sig, ids, sizes):
+    found = J._groups(np.array(sig, np.uint64), np.array(ids), np.array(sizes), np.zeros(len(sig), bool), True)
+    assert [(a, b) for rows in found for k, a, b in zip(rows["kind"], rows["a"], rows["b"]) if k == J.PAIR] == [(3, 9)]
+
+
+def test_any_text_of_an_id_links_in_a_bucket(llm, make, monkeypatch):
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10_000)}" for _ in range(n)]
+    rows = [(1, " ".join(words(60)))]
+    for k in range(12):
+        text = words(60)
+        rows += [(10 + 2 * k, " ".join(words(60))), (10 + 2 * k, " ".join(text)), (11 + 2 * k, " ".join(text[:58] + ["x", "y"]))]
+        if k % 2:
+            rows[-3], rows[-2] = rows[-2], rows[-3]
+    values, sizes = J.shingle_sets(pa.array([t for _, t in rows]))
+    bits = J.bitmaps(values, sizes)
+    found = [(J.DOC, i, int(n), bytearray(b.tobytes())) for (i, _), n, b in zip(rows, sizes, bits)]
+    found += [(J.MEMBER, 7, i, None) for i in sorted({i for i, _ in rows})]
+    monkeypatch.setattr(J, "candidates", lambda docs: llm.createDataFrame(found, J.FOUND))
+    assert sorted(tuple(r) for r in J.joined(make(rows)).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("local", [2, 1000])
+def test_ids_with_several_texts(make, monkeypatch, local):
+    monkeypatch.setattr(J, "LOCAL_GROUP", local)
+    rows = [(i if i % 5 else i // 10, t) for i, t in corpus(2, [f"p{k}" for k in range(20)])]
+    assert sorted(tuple(r) for r in J.joined(make(rows)).collect()) == brute(rows)
+
+
 def test_empty_and_rows_without_id(make):
     assert J.joined(make([])).count() == 0
     text = "one two three four five six"
