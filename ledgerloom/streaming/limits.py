@@ -13,11 +13,11 @@ from .runs import drain, into_folders
 
 
 def window_count_stream(calls: DataFrame, seconds: int, allowed: Sequence[str],
-                        lateness: str | None = "1 day") -> DataFrame:
+                        lateness: str | None = None) -> DataFrame:
     """Running count per key and window.
 
-    ``lateness`` lets closed windows leave the state; None keeps every window, for sources
-    whose order of arrival tells nothing about time.
+    Every window stays in the state, so that no call is too late to count. With ``lateness``
+    closed windows leave it, and calls that come later than that are not counted.
     """
     timed = calls.filter(admissible(allowed))
     if lateness is not None:
@@ -28,7 +28,7 @@ def window_count_stream(calls: DataFrame, seconds: int, allowed: Sequence[str],
 
 
 def count_arrived(calls: DataFrame, seconds: int, allowed: Sequence[str], path: str, checkpoint: str,
-                  lateness: str | None = "1 day") -> DataFrame:
+                  lateness: str | None = None) -> DataFrame:
     """Count all arrived calls; of the updates of a window the last, largest one stands."""
     stream = window_count_stream(calls, seconds, allowed, lateness)
     drain(calls.sparkSession, stream.writeStream.outputMode("update").foreachBatch(into_folders(path)), checkpoint)

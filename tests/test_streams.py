@@ -92,6 +92,16 @@ def test_window_counts_over_several_batches(spark, tmp_path):
     assert sorted(r["calls"] for r in done.collect()) == [40] * 5
 
 
+def test_window_counts_keep_calls_that_come_days_late(spark, tmp_path):
+    schema = "event_id bigint, api_key string, transaction_id string, ts timestamp"
+    arrivals, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    for n, days in enumerate([5, 9, 0]):
+        spark.createDataFrame([(n, "a", "tx", T0 + timedelta(days=days))], schema).write.mode("append").parquet(arrivals)
+        whole = record_stream(spark, arrivals, spark.read.parquet(arrivals).schema)
+        done = limits.count_arrived(whole, 60, ["a"], out, checkpoint)
+    assert [r["calls"] for r in done.collect()] == [1, 1, 1]
+
+
 def published(spark, tmp_path, parts):
     path = str(tmp_path / "log")
     for rows in parts:
