@@ -479,6 +479,9 @@ def _close(key, ids, own, n, bits, tries: int | None) -> Iterator[dict]:
 def joined(docs: DataFrame) -> DataFrame:
     """``doc_id``, size of its shingle set and the smallest ``doc_id`` of its component.
 
+    Components only: links are verified until a component is connected, so neither linked
+    pairs nor the number of links of a document are given.
+
     Null and empty texts have no shingles and no links. Rows of one ``doc_id`` count as one
     document wherever they link; a null id has no component. Columns besides ``doc_id`` and
     ``text`` are not read; an empty table gives no rows.
