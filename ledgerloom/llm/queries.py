@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op11_byte_bpe
 from .content_sort import OP7_SQL, op7_content_sort
 from .jaccard_join import op10_jaccard_join
 from .mixing import op2_pfair_mixing
@@ -15,6 +16,7 @@ from .toxicity import op6_toxicity
 
 REGISTRY = {q.__name__: q for q in (
     op1_token_files, op2_pfair_mixing, op3_best_fit_packing, op4_suffix_repetition, op5_token_counts, op6_toxicity,
-    op7_content_sort, op8_suffix_dedup, op9_secret_scan, op10_jaccard_join)}
+    op7_content_sort, op8_suffix_dedup, op9_secret_scan, op10_jaccard_join,
+    op11_byte_bpe)}
 
 ORACLES = {"op7_content_sort": OP7_SQL}
