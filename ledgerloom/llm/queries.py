@@ -13,10 +13,11 @@ from .suffix_dedup import op8_suffix_dedup
 from .token_counts import op5_token_counts
 from .token_files import op1_token_files
 from .toxicity import op6_toxicity
+from .whitening import op12_whitening
 
 REGISTRY = {q.__name__: q for q in (
     op1_token_files, op2_pfair_mixing, op3_best_fit_packing, op4_suffix_repetition, op5_token_counts, op6_toxicity,
     op7_content_sort, op8_suffix_dedup, op9_secret_scan, op10_jaccard_join,
-    op11_byte_bpe)}
+    op11_byte_bpe, op12_whitening)}
 
 ORACLES = {"op7_content_sort": OP7_SQL}
