@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op11_byte_bpe
 from .content_sort import OP7_SQL, op7_content_sort
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .jaccard_join import op10_jaccard_join
 from .mixing import op2_pfair_mixing
 from .packing import op3_best_fit_packing
@@ -18,6 +19,6 @@ from .whitening import op12_whitening
 REGISTRY = {q.__name__: q for q in (
     op1_token_files, op2_pfair_mixing, op3_best_fit_packing, op4_suffix_repetition, op5_token_counts, op6_toxicity,
     op7_content_sort, op8_suffix_dedup, op9_secret_scan, op10_jaccard_join,
-    op11_byte_bpe, op12_whitening)}
+    op11_byte_bpe, op12_whitening, op13_hard_negatives)}
 
-ORACLES = {"op7_content_sort": OP7_SQL}
+ORACLES = {"op7_content_sort": OP7_SQL, "op13_hard_negatives": OP13_SQL}

@@ -17,9 +17,9 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
-def usable(table: DataFrame, *others: str) -> DataFrame:
-    """Rows with a vector of finite entries below ``LARGEST``, as ``vector`` of doubles."""
-    whole = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= LARGEST))
+def usable(table: DataFrame, *others, most: float = LARGEST) -> DataFrame:
+    """Rows with a vector of finite entries up to ``most``, as ``vector`` of doubles."""
+    whole = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= most))
     rows = table.select(*others, F.col("embedding").cast("array<double>").alias("vector"))
     return rows.filter(F.col("vector").isNotNull() & whole)
 
