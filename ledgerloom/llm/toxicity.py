@@ -1,9 +1,10 @@
 """Toxicity by a linear softmax over averaged subword vectors, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams, a text's vector the
-mean over its words. Misspelt words share n-grams with those seen in training. As the
-classifier is linear, a word contributes one number, so scoring a text is a mean of
-numbers looked up once per distinct word of a batch.
+mean over its words. Only n-grams that stand in clearly more texts of label 1 have vectors;
+others are left out of a word's mean, so that a misspelt word that keeps a few n-grams of a
+word seen in training weighs nearly as much. As the classifier is linear, a word contributes
+one number, so scoring a text is a mean of numbers looked up once per distinct word of a batch.
 """
 
 from __future__ import annotations
@@ -17,33 +18,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, whole_text
-from .vocabulary import PART_BYTES, parts_by_bytes
+from .vocabulary import PART_BYTES, parts_by_bytes, spread
 
 GRAMS = (3, 4, 5, 6)
 BUCKET_BITS = 18
 WIDTH = 4
 # A text's mean is small next to the weight of one word: the scale keeps steps even.
 SCALE = 100.0
-# Bounds of the training sample: rows per label, and characters of a row's text.
-SAMPLE_ROWS = 1500
+# Bounds of the training sample: rows of label 0 and of label 1, and characters of a row's text.
+SAMPLE_ROWS = (3000, 1500)
 SAMPLE_CHARS = 10_000
-# N-grams in fewer sampled texts are not trained.
-LEAST_TEXTS = 4
+# An n-gram is trained if its rate in texts of label 1 exceeds that in others by so many
+# standard errors, by as many words as this times the root of the number of texts, and is
+# so many times as high.
+LEAST_ERRORS, LEAST_EXCESS, LEAST_RATIO, PER_TEXT = 6.0, 0.8, 8.0, 3
+# Counts as so many untrained n-grams in the mean of a word, which damps words with few.
+UNTRAINED = 4.0
 STEPS = 100
-RATE = 0.03
-DECAY = 1e-4
+RATE = 0.05
 
 _EDGES = pa.scalar(" ")
 _STRIPPED = ".,;:!?\"'()[]{}«»„“”…"
 
 
 class Model(NamedTuple):
-    """Score of each n-gram bucket and the bias, both as log odds of label 1."""
+    """Score of each n-gram bucket, which of them were trained, and the bias; log odds of label 1."""
 
     buckets: np.ndarray
+    trained: np.ndarray
     bias: float
 
 
+def _constant(bias: float) -> Model:
+    return Model(np.zeros(1 << BUCKET_BITS, np.float32), np.zeros(1 << BUCKET_BITS, bool), bias)
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word index and bucket of every n-gram of ``<word>`` (at least one per word)."""
     marked = [f"<{w}>" for w in words]
@@ -66,27 +75,6 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found_words), np.concatenate(found)
 
 
-# Words whose n-grams are taken at a time in training.
-CHUNK_WORDS = 20_000
-
-
-def frequent_subwords(words: list[str], texts_of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word, bucket and share in its word of the n-grams in enough texts; chunks bound the memory."""
-    chunks = range(0, len(words), CHUNK_WORDS)
-    seen = np.zeros(1 << BUCKET_BITS)
-    for a in chunks:
-        word, gram = subwords(words[a:a + CHUNK_WORDS])
-        seen += np.bincount(gram, texts_of_word[a + word], len(seen))
-    frequent = seen >= LEAST_TEXTS
-    parts = []
-    for a in chunks:
-        word, gram = subwords(words[a:a + CHUNK_WORDS])
-        share = 1.0 / np.bincount(word)[word]
-        kept = frequent[gram]
-        parts.append((a + word[kept], gram[kept], share[kept]))
-    return tuple(np.concatenate(x) for x in zip(*parts))
-
-
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct lower-case words of the texts, the word of every place, and places per text."""
     split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
@@ -100,59 +88,98 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, index[kept], np.bincount(row[kept], minlength=len(texts))
 
 
+# Texts whose n-grams are taken at a time in training.
+CHUNK_TEXTS = 200
+
+
+def _pairs(texts: list[str]) -> tuple:
+    """Text and word of each pair of these, its share of the text, and the words' n-grams."""
+    words, places, counts = words_of(pa.array(texts, pa.string()))
+    pair, times = np.unique(np.repeat(np.arange(len(texts)), counts) * max(len(words), 1) + places, return_counts=True)
+    row, word = pair // max(len(words), 1), pair % max(len(words), 1)
+    owner, gram = subwords(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return row, word, times / counts[row], owner, gram, len(words)
+
+
+def _spread_grams(word: np.ndarray, owner: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs with these words: how many n-grams each word has, and their places by word."""
+    order = np.argsort(owner, kind="stable")
+    counts = np.bincount(owner, minlength=n_words)
+    starts = np.cumsum(counts) - counts
+    return counts[word], order[spread(starts[word], counts[word])]
+
+
+def telling_subwords(texts: list[str], labels: np.ndarray) -> np.ndarray:
+    """Which buckets stand in clearly more words of texts of label 1; chunks bound the memory.
+
+    A text counts with its distinct words that have the n-gram, up to ``PER_TEXT``.
+    """
+    size = 1 << BUCKET_BITS
+    seen = np.zeros((2, size))
+    for a in range(0, len(texts), CHUNK_TEXTS):
+        row, word, _, owner, gram, n_words = _pairs(texts[a:a + CHUNK_TEXTS])
+        counts, places = _spread_grams(word, owner, n_words)
+        key, times = np.unique(np.repeat(row, counts) * size + gram[places], return_counts=True)
+        for label in (0, 1):
+            mine = labels[a + key // size] == label
+            seen[label] += np.bincount(key[mine] % size, np.minimum(times[mine], PER_TEXT), size)
+    n = np.bincount(labels, minlength=2)
+    rate = seen / n[:, None]
+    error = np.sqrt(np.maximum(seen.sum(0) / n.sum(), 1e-12) * (1 / n[0] + 1 / n[1]))
+    excess = rate[1] - rate[0]
+    return ((excess > LEAST_ERRORS * error) & (excess * n[1] > LEAST_EXCESS * np.sqrt(n[1]))
+            & (rate[1] > LEAST_RATIO * rate[0]))
+
+
 def train(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     """Vectors and softmax by full-batch Adam on weighted cross entropy.
 
-    The gradient of a bucket's vector is the sum over texts of share times residual times
-    the softmax weights, so sums per word and then per bucket are all that is needed.
+    The gradient of a bucket's vector is the sum over texts of its share times residual times
+    the softmax weights, so sums per bucket are all that is needed.
     """
     if len(set(labels.tolist())) < 2:
         only = float(labels[0]) if len(labels) else 0.0
-        return Model(np.zeros(1 << BUCKET_BITS, np.float32), 30.0 * (2 * only - 1))
-    words, places, counts = words_of(pa.array(texts))
-    if not len(places):
-        share = [float((weights * (labels == k)).sum()) for k in (0, 1)]
-        return Model(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log(share[1] / share[0])))
-    row = np.repeat(np.arange(len(texts)), counts)
-    pair, times = np.unique(row * len(words) + places, return_counts=True)
-    row, word = pair // len(words), pair % len(words)
-    share = SCALE * times / counts[row]
-    size = 1 << BUCKET_BITS
-    gram_word, gram, gram_share = frequent_subwords(words, np.bincount(word, minlength=len(words)))
+        return _constant(30.0 * (2 * only - 1))
+    prior = np.log(np.array([float((weights * (labels == k)).sum()) for k in (0, 1)]))
+    trained = telling_subwords(texts, labels)
+    used = np.flatnonzero(trained)
+    if not len(used):
+        return _constant(float(prior[1] - prior[0]))
+    place_of = np.zeros(len(trained), np.int64)
+    place_of[used] = np.arange(len(used))
+    keys, shares = [], []
+    for a in range(0, len(texts), CHUNK_TEXTS):
+        row, word, share, owner, gram, n_words = _pairs(texts[a:a + CHUNK_TEXTS])
+        kept = trained[gram]
+        owner, gram = owner[kept], gram[kept]
+        counts, places = _spread_grams(word, owner, n_words)
+        each = np.repeat(SCALE * share / (counts + UNTRAINED), counts)
+        key, back = np.unique((a + np.repeat(row, counts)) * len(used) + place_of[gram[places]], return_inverse=True)
+        keys.append(key)
+        shares.append(np.bincount(back, each, len(key)))
+    key, share = np.concatenate(keys), np.concatenate(shares)
+    row, place = key // len(used), key % len(used)
     rng = np.random.default_rng(0)
-    vectors = (rng.standard_normal((size, WIDTH)) * 0.01).astype(np.float32)
-    softmax = (rng.standard_normal((WIDTH, 2)) * 0.1).astype(np.float32)
-    bias = np.log(np.array([(weights * (labels == k)).sum() for k in (0, 1)])).astype(np.float32)
+    vectors = rng.standard_normal((len(used), WIDTH)) * 0.01
+    softmax = rng.standard_normal((WIDTH, 2)) * 0.1
+    bias = prior.copy()
     target = np.eye(2)[labels]
     weight = (weights / weights.sum())[:, None]
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
-    used = np.unique(gram)
-    place_of = np.zeros(size, np.int64)
-    place_of[used] = np.arange(len(used))
-    local = place_of[gram]
-    vectors = vectors[used]
-    state[0] = [np.zeros_like(vectors), np.zeros_like(vectors)]
     for step in range(1, STEPS + 1):
-        means = np.empty((len(texts), WIDTH))
-        for k in range(WIDTH):
-            per_word = np.bincount(gram_word, gram_share * vectors[local, k], len(words))
-            means[:, k] = np.bincount(row, share * per_word[word], len(texts))
+        means = np.stack([np.bincount(row, share * vectors[place, k], len(texts)) for k in range(WIDTH)], 1)
         scores = means @ softmax + bias
         odds = np.exp(scores - scores.max(1, keepdims=True))
         residual = weight * (odds / odds.sum(1, keepdims=True) - target)
-        sums = np.empty((len(used), 2))
-        for k in (0, 1):
-            per_word = np.bincount(word, share * residual[row, k], len(words))
-            sums[:, k] = np.bincount(local, gram_share * per_word[gram_word], len(used))
-        grads = (sums @ softmax.T + DECAY * vectors, means.T @ residual, residual.sum(0))
+        sums = np.stack([np.bincount(place, share * residual[row, k], len(used)) for k in (0, 1)], 1)
+        grads = (sums @ softmax.T, means.T @ residual, residual.sum(0))
         for p, g, (m, v) in zip((vectors, softmax, bias), grads, state):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    direction = softmax[:, 1] - softmax[:, 0]
-    buckets = np.zeros(size, np.float32)
-    buckets[used] = vectors @ direction * SCALE
-    return Model(buckets, float(bias[1] - bias[0]))
+    buckets = np.zeros(len(trained), np.float32)
+    buckets[used] = vectors @ (softmax[:, 1] - softmax[:, 0]) * SCALE
+    return Model(buckets, trained, float(bias[1] - bias[0]))
 
 
 def scores_of(texts: pa.Array, model: Model) -> np.ndarray:
@@ -163,7 +190,8 @@ def scores_of(texts: pa.Array, model: Model) -> np.ndarray:
         if not len(places):
             continue
         word, bucket = subwords(words)
-        value = np.bincount(word, model.buckets[bucket], len(words)) / np.bincount(word, minlength=len(words))
+        known = np.bincount(word, model.trained[bucket], len(words))
+        value = np.bincount(word, model.buckets[bucket], len(words)) / (known + UNTRAINED)
         row = np.repeat(np.arange(b - a), counts)
         total[a:b] = np.bincount(row, value[places], b - a)
         number[a:b] = counts
@@ -177,7 +205,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Model:
-    """A model from at most ``SAMPLE_ROWS`` rows of each label (chosen by a hash of the id).
+    """A model from at most ``SAMPLE_ROWS`` rows of the labels (chosen by a hash of the id).
 
     ``learn`` restricts the labelled ids. Classes are weighted by their share of all
     usable labels, so that scores are probabilities in the table's own mixture.
@@ -187,12 +215,12 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> M
         usable = usable.filter(learn)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = [usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    chosen = [usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS[k])
               for k in (0, 1)]
-    # At most two times SAMPLE_ROWS ids are broadcast, and as many texts come to the driver.
+    # No more ids than SAMPLE_ROWS are broadcast, and as many texts come to the driver.
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
     sample = (docs.select("doc_id", whole_text().alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-              .join(ids, "doc_id").select("doc_id", "text", "toxic").limit(4 * SAMPLE_ROWS).collect())
+              .join(ids, "doc_id").select("doc_id", "text", "toxic").limit(2 * sum(SAMPLE_ROWS)).collect())
     sample.sort(key=lambda r: (r["doc_id"], r["text"]))
     toxic = np.array([r["toxic"] for r in sample], np.int64)
     seen = np.bincount(toxic, minlength=2)

@@ -40,6 +40,34 @@ def test_unseen_misspellings_share_grams():
     assert any(w not in known for t in texts[800:] for w in t.split())
 
 
+def misspelt(word, rng):
+    at = rng.randrange(1, len(word) - 1)
+    return rng.choice([word[:at] + rng.choice("xqw01") + word[at + 1:], word[:at] + word[at + 1:], word[:at] + word[at:at + 1] + word[at:]])
+
+
+def test_texts_with_all_rude_words_misspelt():
+    texts, labels = corpus(4, 900)
+    model = X.train(texts[:600], labels[:600], np.ones(600))
+    rng = random.Random(9)
+    plain = {w for t, y in zip(texts, labels) if not y for w in t.split()}
+    held = [" ".join(w if w in plain else misspelt(w, rng) for w in t.split()) for t in texts[600:]]
+    found = X.scores_of(pa.array(held), model) >= 0.5
+    assert found[labels[600:] == 1].mean() > 0.85 and found[labels[600:] == 0].mean() < 0.02
+
+
+def test_few_labels_are_enough():
+    texts, labels = corpus(5, 1000)
+    model = X.train(texts[:120], labels[:120], np.ones(120))
+    found = X.scores_of(pa.array(texts[120:]), model) >= 0.5
+    assert found[labels[120:] == 1].mean() > 0.9 and found[labels[120:] == 0].mean() < 0.02
+
+
+def test_without_telling_subwords_the_prior_decides():
+    same = ["one two three"] * 40
+    scores = X.scores_of(pa.array(same), X.train(same, np.array([0, 0, 0, 1] * 10), np.ones(40)))
+    assert np.allclose(scores, 0.25)
+
+
 def test_one_label_or_none():
     texts = pa.array(["a b", ""])
     assert (X.scores_of(texts, X.train([], np.zeros(0, np.int64), np.zeros(0))) < 0.5).all()
@@ -80,4 +108,4 @@ def test_query_learns_only_from_its_folds(llm):
     learnt = [got[i]["predicted"] == t for i, t in truth.items() if not got[i]["held_out"]]
     tested = [got[i]["predicted"] == t for i, t in truth.items() if got[i]["held_out"]]
     # Few rows are labelled at this size; see the README for the accuracy on larger tables.
-    assert np.mean(learnt) > 0.9 and np.mean(tested) > 0.75
+    assert np.mean(learnt) > 0.97 and np.mean(tested) > 0.95
