@@ -178,6 +178,24 @@ PARTS: dict[str, str] = {
         UNION ALL
         SELECT 'transaction_log_dlt', seq % 6, seq, delivery_no, copy_no, reason, 'FAILED', {_json_log()}
         FROM labelled WHERE disposition = 'FAILED'""",
+    # The processor fed with the records as they were sent: only what decodes and is valid is folded.
+    "sendable": "SELECT * FROM decoded WHERE NOT undecodable AND reject_reason IS NULL",
+    **_holds("streamed", "sendable", "idempotency_key", "created_at", "INTERVAL 48 HOUR", "transaction_id"),
+    "concluded": """
+        SELECT *, CASE WHEN acquired THEN 'PROCESSED' WHEN transaction_id = holder THEN 'DUPLICATE_REPLAY'
+                       ELSE 'DUPLICATE_REJECTED' END AS outcome FROM streamed""",
+    "stream_notices": """
+        SELECT seq, delivery_no, callback_url, transaction_id, correlation_id, created_at AS occurred_at,
+               CASE WHEN outcome = 'DUPLICATE_REJECTED' THEN 'REJECTED' ELSE 'ACCEPTED' END AS status FROM concluded
+        UNION ALL
+        SELECT seq, delivery_no, callback_url, transaction_id, correlation_id, created_at, 'REJECTED'
+        FROM decoded WHERE NOT undecodable AND reject_reason IS NOT NULL""",
+    "logged": "SELECT * FROM concluded WHERE outcome = 'PROCESSED'",
+    "entered": """
+        SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY account_id, idempotency_key ORDER BY created_at, seq, delivery_no) AS place
+          FROM logged WHERE merchant_id IS NOT NULL) t
+        WHERE place = 1""",
     "processor_updates": """
         SELECT callback_url, transaction_id, CASE WHEN outcome = 'DUPLICATE_REJECTED' THEN 'REJECTED' ELSE 'ACCEPTED' END
                AS status, correlation_id, created_at AS occurred_at, seq, delivery_no, 1 AS stage_no, 0 AS copy_no
@@ -455,6 +473,25 @@ _STATEMENTS: dict[str, str] = {
         SELECT seq, delivery_no, merchant_id, coalesce(early, CASE WHEN wrong THEN 'Invalid signature' ELSE 'OK' END) AS verdict,
                coalesce(idem_header <> body_key, false) AS key_mismatch FROM judged """,
     "body_hash": "SELECT seq, delivery_no, to_base64(unhex(sha256(body))) AS body_hash FROM signed ",
+    "processor_stream": """
+        SELECT seq, delivery_no, transaction_id, outcome,
+               CASE WHEN outcome = 'DUPLICATE_REJECTED' THEN 'REJECTED' ELSE 'ACCEPTED' END AS status, NULL AS reason
+        FROM concluded
+        UNION ALL
+        SELECT seq, delivery_no, CASE WHEN NOT undecodable THEN transaction_id END,
+               CASE WHEN undecodable THEN 'UNDECODABLE' ELSE 'INVALID' END, CASE WHEN NOT undecodable THEN 'REJECTED' END,
+               CASE WHEN undecodable THEN 'undecodable payload' ELSE reject_reason END
+        FROM decoded WHERE undecodable OR reject_reason IS NOT NULL""",
+    "processor_letters_stream": "SELECT * FROM letters WHERE topic = 'transaction_requests_dlt'",
+    "processor_notices_stream": """
+        SELECT sha256(transaction_id || ':' || CAST(delivery_no AS VARCHAR) || ':0:' || status || ':processor') AS event_id,
+               callback_url, transaction_id, status, correlation_id, occurred_at
+        FROM stream_notices WHERE callback_url IS NOT NULL AND trim(callback_url) <> ''""",
+    "service_chain_stream": """
+        SELECT l.transaction_id, count(*) AS documents, bool_or(e.transaction_id IS NOT NULL) AS in_ledger,
+               max(CASE WHEN trim(l.callback_url) <> '' THEN
+                     CASE WHEN e.transaction_id IS NULL THEN 'FAILED' ELSE 'PERSISTED' END END) AS told
+        FROM logged l LEFT JOIN entered e ON e.transaction_id = l.transaction_id GROUP BY 1""",
     "load_summary": "SELECT * FROM load_row ",
     "load_thresholds": """
         SELECT unnest(['http_req_failed', 'status_202_rate', 'checks', 'app_check_rate', 'http_req_duration',

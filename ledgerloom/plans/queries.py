@@ -20,6 +20,7 @@ from ..sources.tables import EVENTS, GIVEN, arriving_path, since
 from ..streaming import idempotency as idempotency_stream
 from ..streaming import limits as limits_stream
 from ..streaming import log as log_stream
+from ..streaming import processor as processor_stream_job
 from ..streaming import webhooks as webhook_stream
 from . import derive
 
@@ -411,3 +412,49 @@ def audit_stream(spark, sf):
     log = log_stream.consume(spark, _published(spark, sf))
     documents = log_stream.audit_arrived(log, f"{root}/documents", f"{root}/checkpoint")
     return _money(documents.drop("processed_date"))
+
+
+def _processed(spark, sf) -> tuple[processor_stream_job.ProcessorFolders, DataFrame]:
+    """The raw request records, broken ones too, put through the processor."""
+    folders, sent = processor_stream_job.ProcessorFolders(fresh_path(spark, "processor")), fresh_path(spark, fixed.REQUEST_STREAM)
+    processor_stream_job.publish_raw(derive.raw_requests(spark, sf), sent)
+    return folders, processor_stream_job.processed_arrived(processor_stream_job.consume(spark, sent), folders)
+
+
+@query
+def processor_stream(spark, sf):
+    """What the processor makes of every record it receives."""
+    return _processed(spark, sf)[1]
+
+
+@query
+def processor_letters_stream(spark, sf):
+    folders, _ = _processed(spark, sf)
+    return spark.read.parquet(folders.letters).drop("run_id", "batch_id")
+
+
+@query
+def processor_notices_stream(spark, sf):
+    folders, _ = _processed(spark, sf)
+    return decoded(spark.read.schema(webhook_stream.RECORD).parquet(folders.webhooks), schemas.WEBHOOK_WIRE).select(
+        *schemas.WEBHOOK_WIRE.values())
+
+
+@query
+def service_chain_stream(spark, sf):
+    """Requests through processor, log, ledger consumer and audit consumer, reconciled.
+
+    One row per transaction that reached the log: documents in the audit, whether the ledger
+    holds it, and the last status its caller was sent, if it has an address.
+    """
+    folders, _ = _processed(spark, sf)
+    kept = log_stream.LedgerFolders(f"{folders.root}/ledger")
+    entered = log_stream.ledger_arrived(log_stream.consume(spark, folders.log), kept)
+    documents = log_stream.audit_arrived(log_stream.consume(spark, folders.log), f"{folders.root}/audit",
+                                         f"{folders.root}/audit-checkpoint")
+    audited = documents.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("documents"))
+    told = decoded(spark.read.schema(webhook_stream.RECORD).parquet(kept.webhooks), schemas.WEBHOOK_WIRE)
+    last = told.groupBy("transaction_id").agg(F.max("status").alias("told"))
+    held = entered.select("transaction_id", F.lit(True).alias("in_ledger"))
+    return (audited.join(held, "transaction_id", "left").join(last, "transaction_id", "left")
+            .select("transaction_id", "documents", F.coalesce("in_ledger", F.lit(False)).alias("in_ledger"), "told"))

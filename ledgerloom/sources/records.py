@@ -42,6 +42,20 @@ def record_batch(spark: SparkSession, source: str, schema: T.StructType | None =
     return reader.schema(schema).load(source)
 
 
+def positioned(records: DataFrame) -> DataFrame:
+    """Records of a topic with the columns that travel beside records in files.
+
+    A topic's offset numbers the records of one partition; the partition tells apart those of
+    equal offset. Records of a folder have these columns already.
+    """
+    if "offset" not in records.columns:
+        return records
+    return records.select(
+        F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
+        F.col("offset").cast("bigint").alias("seq"), F.col("partition").cast("int").alias("delivery_no"),
+        F.lit(0).alias("copy_no"), F.col("partition").cast("bigint").alias("source_partition"))
+
+
 def decoded(records: DataFrame, wire: dict[str, str], value: str = "value") -> DataFrame:
     """Parse JSON text; ``undecodable`` marks bad syntax, wrong types and unknown enum values."""
     schema = wire_schema(wire).add(CORRUPT, T.StringType())

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .. import fixed, schemas
 from ..operators import audit, deadletter, webhooks
 from ..operators.ledger import INSERTED, ledger_rows, narrowed, persist, replayed
-from ..sources.records import decoded, encoded, kept, record_batch, record_stream
+from ..sources.records import decoded, encoded, kept, positioned, record_batch, record_stream
 from ..sources.sinks import publish_records
 from ..sources.tables import stored_or_empty
 from .runs import PLACE_FIELDS, Place, batch_folder, drain
@@ -32,7 +32,7 @@ def publish(log: DataFrame, path: str) -> None:
 
 
 def consume(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    return decoded(record_stream(spark, path, RECORD, fmt, **options), schemas.LOG_WIRE)
+    return decoded(positioned(record_stream(spark, path, RECORD, fmt, **options)), schemas.LOG_WIRE)
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def replay(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> t
     result has been written.
     """
     read = Observation("replay")
-    records = record_batch(spark, path, RECORD, fmt, **options).observe(read, F.count(F.lit(1)).alias("records"))
+    records = positioned(record_batch(spark, path, RECORD, fmt, **options)).observe(read, F.count(F.lit(1)).alias("records"))
     good = kept(decoded(records, schemas.LOG_WIRE), ~F.col("undecodable")).drop("undecodable", "value", "key")
     return replayed(good), read
 
@@ -140,7 +140,7 @@ def replay_into(spark: SparkSession, path: str, folders: LedgerFolders, fmt: str
     It takes the way of a micro-batch, as a run of its own: what is stored is skipped, only
     what is absent enters. No notifications are sent again.
     """
-    records = decoded(record_batch(spark, path, RECORD, fmt, **options), schemas.LOG_WIRE)
+    records = decoded(positioned(record_batch(spark, path, RECORD, fmt, **options)), schemas.LOG_WIRE)
     place = Place(f"replay-{uuid.uuid4().hex}", 0)
     persist_batch(records, place, folders, notify=False)
     return stored_ledger(spark, folders).select(*schemas.LEDGER.fieldNames()), records.count()
