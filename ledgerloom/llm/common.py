@@ -32,9 +32,17 @@ SETTINGS = {
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+# Python workers serve many tasks: what a task frees goes back to the machine, not to a heap
+# that only grows.
+FOR_WORKERS = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2",
+               "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ready(spark: SparkSession) -> SparkSession:
     prepare(spark)
     for_workers = spark.sparkContext.environment
+    for name, value in FOR_WORKERS.items():
+        for_workers.setdefault(name, value)
     listed = [p for p in for_workers.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in listed:
         for_workers["PYTHONPATH"] = os.pathsep.join([*listed, ROOT])

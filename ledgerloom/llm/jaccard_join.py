@@ -44,8 +44,10 @@ PER_SEGMENT = 2.5
 # A shingle in more than this share of the documents (and so many at least) is frequent.
 FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 20
 # Signatures collected before they are dealt out, and those one shuffle partition should hold.
-FLUSH = 2_000_000
-PER_PARTITION = 2_000_000
+FLUSH = 500_000
+PER_PARTITION = 500_000
+# Bytes of text whose shingles are held at a time.
+SHINGLED_BYTES = 2 << 20
 # Copies of a signature within one flush beyond which only the smallest id is dealt out.
 LOCAL_GROUP = 8
 # Bits of a set's parity bitmap, and members of a bucket compared in one block.
@@ -170,8 +172,8 @@ def signatures(values: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) -> t
     return np.concatenate([f[0] for f in found]), real[np.concatenate([f[1] for f in found])]
 
 
-# Tables of the first job: documents, links already certain, pairs to verify, and members of
-# signatures with three or more.
+# Tables of the first job: documents, links already certain, pairs to verify (packed, with the
+# number of the part they go to), and members of signatures with three or more.
 DOC, LINK, PAIR, MEMBER = 0, 1, 2, 3
 FOUND = "kind tinyint, a bigint, b bigint, bits binary"
 
@@ -181,6 +183,40 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray | None = Non
             "bits": pa.nulls(len(a), pa.binary()) if bits is None else [x.tobytes() for x in bits]}
 
 
+def _dealt_pairs(rows: dict, parts: int) -> dict:
+    """Pairs packed by the part that will drop those found under several signatures."""
+    both = np.stack([rows["a"], rows["b"]], 1)
+    part = (mixed(both[:, 0].astype(np.uint64) * _P ^ both[:, 1].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    both, edges = both[order], np.searchsorted(part[order], np.arange(parts + 1))
+    used = np.flatnonzero(np.diff(edges))
+    return {"kind": np.full(len(used), PAIR, np.int8), "a": used, "b": np.diff(edges)[used],
+            "bits": [both[edges[p]:edges[p + 1]].tobytes() for p in used.tolist()]}
+
+
+def distinct_pairs(found: DataFrame) -> DataFrame:
+    """The packed pairs of ``found``, each once. Equal pairs lie in one part."""
+    def work(batches):
+        held, part = [], None
+
+        def closed():
+            both = np.unique(np.frombuffer(b"".join(held), np.int64).reshape(-1, 2), axis=0)
+            return {"a": both[:, 0], "b": both[:, 1]}
+
+        for batch in batches:
+            for number, packed in zip(batch.column("a").to_pylist(), batch.column("bits").to_pylist()):
+                if number != part and held:
+                    yield closed()
+                    held.clear()
+                part = number
+                held.append(packed)
+        if held:
+            yield closed()
+
+    packed = found.filter(F.col("kind") == PAIR).select("a", "bits")
+    return map_arrow(packed.repartition("a").sortWithinPartitions("a"), "a bigint, b bigint", work)
+
+
 def bitmaps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Per set the parity of its shingles in each of the bitmap's places: two sets that differ
     in D shingles differ in at most D bits."""
@@ -266,7 +302,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, int, int]:
         held, n = [], 0
         for batch in batches:
             texts = batch.column("text")
-            for a, b in parts_by_bytes(texts):
+            for a, b in parts_by_bytes(texts, SHINGLED_BYTES):
                 values, _ = shingle_sets(texts.slice(a, b - a))
                 held.append(values)
                 n += b - a
@@ -288,7 +324,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, int, int]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Documents with their set sizes, certain links, pairs to verify and bucket members."""
+    """Documents with their set sizes, certain links, pairs to verify (packed) and bucket members."""
     frequent, _, n_shingles = frequent_shingles(docs)
     parts = max(shuffle_parts(docs.sparkSession), int(n_shingles * 0.5) // PER_PARTITION + 1)
 
@@ -311,14 +347,15 @@ def candidates(docs: DataFrame) -> DataFrame:
             if crowd.any():
                 none = np.zeros(int(crowd.sum()), bool)
                 for rows in _groups(sig[crowd], ids[crowd], sizes[crowd], none, False):
-                    yield _packed_found(rows, number)
+                    if len(rows["a"]):
+                        yield _packed_found(rows, number)
             head = np.zeros(len(sig), bool)
             head[at] = True
             out = ~crowd | head
             yield from _dealt(sig[out], ids[out], sizes[out], (crowd & head)[out], parts)
 
         for batch in batches:
-            for a, b in parts_by_bytes(batch.column("text")):
+            for a, b in parts_by_bytes(batch.column("text"), SHINGLED_BYTES):
                 ids = batch.column("doc_id").slice(a, b - a).to_numpy()
                 values, sizes = shingle_sets(batch.column("text").slice(a, b - a))
                 edges = np.concatenate([[0], np.cumsum(sizes)])
@@ -355,12 +392,14 @@ def candidates(docs: DataFrame) -> DataFrame:
                 if row["found"] is not None:
                     kind, a, b = np.frombuffer(row["found"], np.int64).reshape(3, -1)
                     bits = None if row["sig"] is None else np.frombuffer(row["sig"], np.uint8).reshape(len(a), -1)
-                    yield _rows(int(kind[0]), a, b, bits)
+                    yield _dealt_pairs(_rows(PAIR, a, b), parts) if kind[0] == PAIR else _rows(int(kind[0]), a, b, bits)
                 else:
                     held.append((np.frombuffer(row["sig"], np.uint64), np.frombuffer(row["ids"], np.int64),
                                  np.frombuffer(row["sizes"], np.uint32).astype(np.int64), np.frombuffer(row["local"], bool)))
         if held:
-            yield from _groups(*(np.concatenate(x) for x in zip(*held)), True)
+            first, rest = _groups(*(np.concatenate(x) for x in zip(*held)), True)
+            yield _dealt_pairs(first, parts)
+            yield rest
 
     signed = map_arrow(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), PACKED, sign)
     return staged(map_arrow(signed.repartition(parts, "part"), FOUND, pair), "candidates")
@@ -488,8 +527,8 @@ def joined(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", whole_text().alias("text"))
     found = candidates(docs)
-    kinds = {k: found.filter(F.col("kind") == k).select("a", "b") for k in (DOC, LINK, PAIR, MEMBER)}
-    pairs = kinds[PAIR].distinct()
+    pairs = staged(distinct_pairs(found), "pairs")
+    kinds = {k: found.filter(F.col("kind") == k).select("a", "b") for k in (DOC, LINK, MEMBER)}
     links = staged(kinds[LINK].unionByName(verified(docs, pairs)), "links")
     near = staged(components(links), "near")
     member = kinds[MEMBER].select(F.col("a").alias("sig"), F.col("b").alias("id")).distinct()
