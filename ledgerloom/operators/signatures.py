@@ -54,6 +54,20 @@ def audit(requests: DataFrame, merchants: DataFrame, allowed_skew: int = fixed.A
     return known.select(*ARRIVAL, "merchant_id", verdict.alias("verdict"), mismatch.alias("key_mismatch"))
 
 
+def checked(requests: DataFrame, merchants: DataFrame, allowed_skew: int = fixed.ALLOWED_SKEW_SECONDS) -> DataFrame:
+    """Requests with ``_early``, the first failure before the nonce check, and ``_wrong``, whether
+    the signature is."""
+    known = _known(requests, merchants).withColumn("_early", _before_nonce(allowed_skew)).withColumn(
+        "_wrong", F.coalesce(_wrong_signature(), F.lit(False)))
+    return known.select(*requests.columns, "_early", "_wrong")
+
+
+def after_nonce(accepted: Column) -> Column:
+    """Verdict of a request that has passed the checks before the nonce check."""
+    return (F.when(~accepted, fixed.NONCE_REPLAYED)
+            .when(F.col("_wrong"), fixed.SIGNATURE_INVALID).otherwise(fixed.SIGNATURE_OK))
+
+
 def nonce_audit(requests: DataFrame, merchants: DataFrame, allowed_skew: int = fixed.ALLOWED_SKEW_SECONDS,
                 ttl_minutes: int = fixed.NONCE_TTL_MINUTES, fold_rows: int | None = None) -> DataFrame:
     """Verdicts with the nonce check on.
@@ -61,16 +75,13 @@ def nonce_audit(requests: DataFrame, merchants: DataFrame, allowed_skew: int = f
     Only requests that pass the earlier checks use up their nonce, even if their
     signature turns out wrong.
     """
-    judged = _known(requests, merchants).withColumn("_early", _before_nonce(allowed_skew)).withColumn(
-        "_wrong", F.coalesce(_wrong_signature(), F.lit(False)))
     columns = (*ARRIVAL, "merchant_id", "nonce", "received_at", "_early", "_wrong")
-    judged = judged.select(*columns)
+    judged = checked(requests, merchants, allowed_skew).select(*columns)
     failed = judged.filter(F.col("_early").isNotNull()).select(
         *ARRIVAL, "merchant_id", "nonce", F.col("_early").alias("verdict"))
     guarded = hold(judged.filter(F.col("_early").isNull()), ["merchant_id", "nonce"], "received_at",
                    ARRIVAL, "seq", ttl_minutes * 60, fold_rows)
-    verdict = (F.when(~F.col(ACQUIRED), fixed.NONCE_REPLAYED)
-               .when(F.col("_wrong"), fixed.SIGNATURE_INVALID).otherwise(fixed.SIGNATURE_OK))
+    verdict = after_nonce(F.col(ACQUIRED))
     return failed.unionByName(guarded.select(*ARRIVAL, "merchant_id", "nonce", verdict.alias("verdict")))
 
 

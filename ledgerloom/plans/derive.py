@@ -138,10 +138,8 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     whole.alias("whole")).select("seq", "delivery_no", "source_partition", value.alias("value"))
 
 
-def create_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingress bodies; the callback address alternates between its two spellings."""
-    r = requests(spark, sf_dir)
-
+def _create_body() -> Column:
+    """The JSON body of a request; the callback address alternates between its two spellings."""
     def body(address: str) -> Column:
         return F.concat(
             F.lit("{"), json_text("idempotencyKey", F.col("idempotency_key")),
@@ -151,11 +149,18 @@ def create_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(","), json_text("type", F.col("type")),
             F.lit(","), json_text(address, F.col("callback_url")), F.lit("}"))
 
-    return r.select(
+    return F.when(nth("seq", 2, 0), body("callbackUrl")).otherwise(body("callback_url"))
+
+
+def _correlation_header() -> Column:
+    return F.when(nth("seq", 5, 0), F.lit(None)).when(nth("seq", 5, 1), " ").otherwise(F.col("correlation_id"))
+
+
+def create_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingress bodies with their headers."""
+    return requests(spark, sf_dir).select(
         "seq", "delivery_no", F.col("merchant_id").alias("merchant_header"),
-        F.when(nth("seq", 5, 0), F.lit(None)).when(nth("seq", 5, 1), " ").otherwise(
-            F.col("correlation_id")).alias("correlation_header"),
-        F.when(nth("seq", 2, 0), body("callbackUrl")).otherwise(body("callback_url")).alias("body"),
+        _correlation_header().alias("correlation_header"), _create_body().alias("body"),
         F.col("created_at").alias("received_at"))
 
 
@@ -168,26 +173,35 @@ def signing_config(spark: SparkSession) -> DataFrame:
         F.lit("1").alias("salt_index"))
 
 
-def signed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = requests(spark, sf_dir)
+def _signed(requests: DataFrame, body: Column, *more: Column) -> DataFrame:
+    """Requests with signature headers; some come late, some with a wrong stamp or signature."""
     sent = F.col("created_at") - F.make_dt_interval(mins=F.col("delivery_no"))
     stamp = F.when(nth("seq", 19, 3), "not-a-time").otherwise(F.date_format(sent, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    body = F.concat(F.lit('{"accountId":"'), F.col("account_id"), F.lit('","amount":'),
-                    F.col("amount").cast("string"), F.lit(',"note":"' + "x" * 60 + '"}'))
-    signed = r.select(
+    signed = requests.select(
         "seq", "delivery_no", "merchant_id",
         F.concat(F.lit("nonce-"), (F.col("seq") % 5000).cast("string")).alias("nonce"),
         F.col("idempotency_key").alias("idem_header"),
-        F.when(nth("seq", 13, 7), F.concat(F.lit("other-"), "idempotency_key")).otherwise(
-            F.col("idempotency_key")).alias("body_key"),
         F.lit("/api/v1/transactions").alias("path"), body.alias("body"), stamp.alias("ts_header"),
         F.when(nth("seq", 17, 2), F.col("created_at") + F.expr("INTERVAL 121 SECOND"))
-        .otherwise(F.col("created_at")).alias("received_at"))
+        .otherwise(F.col("created_at")).alias("received_at"), *more)
     right = signature(F.col("body"), F.col("path"), F.col("ts_header"), F.col("nonce"), F.col("idem_header"),
                       F.concat(F.lit("salt-"), "merchant_id"), F.lit("1"))
     return signed.withColumn("verify", F.when(nth("seq", 11, 4), "WRONG###1").otherwise(right))
 
 
+def signed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit('{"accountId":"'), F.col("account_id"), F.lit('","amount":'),
+                    F.col("amount").cast("string"), F.lit(',"note":"' + "x" * 60 + '"}'))
+    key = F.when(nth("seq", 13, 7), F.concat(F.lit("other-"), "idempotency_key")).otherwise(F.col("idempotency_key"))
+    return _signed(requests(spark, sf_dir), body, key.alias("body_key"))
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed calls with the bodies that create transactions."""
+    return _signed(requests(spark, sf_dir), _create_body(), _correlation_header().alias("correlation_header"),
+                   (F.col("seq") % fixed.STREAM_PARTITIONS).alias("source_partition"))
+
+
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls_from(table(prepare(spark), sf_dir, EVENTS))
 

@@ -304,14 +304,6 @@ PARTS: dict[str, str] = {
         FROM loads""",
 }
 
-# What each part reads, taken from its text.
-_NEEDS = {
-    name: [other for other in PARTS if other != name and f" {other} " in f" {text} ".replace("\n", " ").replace(")", " ")
-           .replace(";", " ")]
-    for name, text in PARTS.items()
-}
-
-
 def _sql(statement: str) -> str:
     wanted: list[str] = []
     padded = f" {statement} ".replace("\n", " ").replace(")", " ")
@@ -356,6 +348,24 @@ def _run(audit: str, ledger: str) -> str:
                    ORDER BY transaction_id LIMIT 20) z) AS ids) t"""
 
 
+_ANSWERED = f"""
+    SELECT r.*, j.received_at, sha256(CAST(r.seq AS VARCHAR) || ':' || CAST(r.delivery_no AS VARCHAR) || ':transaction') AS new_id,
+           CASE WHEN j.early IS NOT NULL THEN j.early WHEN NOT n.acquired THEN 'Replay detected'
+                WHEN j.wrong THEN 'Invalid signature' END AS verdict, concat_ws(';', {_ERRORS}) AS errors
+    FROM requests r JOIN judged j USING (seq, delivery_no) LEFT JOIN nonces n USING (seq, delivery_no)"""
+PARTS["answered"] = _ANSWERED
+PARTS["sent_on"] = """
+    SELECT seq, delivery_no, new_id AS transaction_id, idempotency_key, received_at AS created_at
+    FROM answered WHERE verdict IS NULL AND errors = ''"""
+PARTS |= _holds("chained", "sent_on", "idempotency_key", "created_at", "INTERVAL 48 HOUR", "transaction_id")
+
+# What each part reads, taken from its text.
+_NEEDS = {
+    name: [other for other in PARTS if other != name and f" {other} " in f" {text} ".replace("\n", " ").replace(")", " ")
+           .replace(";", " ")]
+    for name, text in PARTS.items()
+}
+
 _STATEMENTS: dict[str, str] = {
     "validate_first_failure": "SELECT seq, delivery_no, reject_reason FROM checked ",
     "ingress_field_errors": f"""
@@ -473,6 +483,19 @@ _STATEMENTS: dict[str, str] = {
         SELECT seq, delivery_no, merchant_id, coalesce(early, CASE WHEN wrong THEN 'Invalid signature' ELSE 'OK' END) AS verdict,
                coalesce(idem_header <> body_key, false) AS key_mismatch FROM judged """,
     "body_hash": "SELECT seq, delivery_no, to_base64(unhex(sha256(body))) AS body_hash FROM signed ",
+    "ingress_stream": """
+        SELECT seq, delivery_no, CASE WHEN verdict IS NOT NULL THEN 401 WHEN errors <> '' THEN 400 ELSE 202 END AS code,
+               CASE WHEN verdict IS NOT NULL THEN verdict WHEN errors <> '' THEN 'Validation failed' END AS message,
+               CASE WHEN verdict IS NULL AND errors <> '' THEN errors END AS field_errors,
+               CASE WHEN verdict IS NULL AND errors = '' THEN new_id END AS transaction_id,
+               CASE WHEN verdict IS NULL AND errors = '' THEN 'RECEIVED' END AS status
+        FROM answered """,
+    "ingress_chain_stream": """
+        SELECT seq, delivery_no, transaction_id,
+               CASE WHEN acquired THEN 'PROCESSED' WHEN transaction_id = holder THEN 'DUPLICATE_REPLAY'
+                    ELSE 'DUPLICATE_REJECTED' END AS outcome,
+               CASE WHEN acquired OR transaction_id = holder THEN 'ACCEPTED' ELSE 'REJECTED' END AS status, NULL AS reason
+        FROM chained """,
     "processor_stream": """
         SELECT seq, delivery_no, transaction_id, outcome,
                CASE WHEN outcome = 'DUPLICATE_REJECTED' THEN 'REJECTED' ELSE 'ACCEPTED' END AS status, NULL AS reason

@@ -18,6 +18,7 @@ from ..session import fresh_path, prepare, staged
 from ..sources.records import decoded, record_stream
 from ..sources.tables import EVENTS, GIVEN, arriving_path, since
 from ..streaming import idempotency as idempotency_stream
+from ..streaming import ingress as ingress_stream_job
 from ..streaming import limits as limits_stream
 from ..streaming import log as log_stream
 from ..streaming import processor as processor_stream_job
@@ -458,3 +459,27 @@ def service_chain_stream(spark, sf):
     held = entered.select("transaction_id", F.lit(True).alias("in_ledger"))
     return (audited.join(held, "transaction_id", "left").join(last, "transaction_id", "left")
             .select("transaction_id", "documents", F.coalesce("in_ledger", F.lit(False)).alias("in_ledger"), "told"))
+
+
+def _ingested(spark, sf) -> tuple[ingress_stream_job.IngressFolders, DataFrame]:
+    """Signed calls put through the ingress, nonce check on."""
+    folders, sent = ingress_stream_job.IngressFolders(fresh_path(spark, "ingress")), fresh_path(spark, "calls")
+    derive.submissions(spark, sf).select(*ingress_stream_job.CALL.fieldNames()).write.parquet(sent)
+    calls = record_stream(spark, sent, ingress_stream_job.CALL)
+    return folders, ingress_stream_job.ingested_arrived(calls, folders, derive.signing_config(spark),
+                                                        nonce_minutes=fixed.NONCE_TTL_MINUTES)
+
+
+@query
+def ingress_stream(spark, sf):
+    """The answer to every call."""
+    errors = F.array_join(F.transform(F.map_entries("field_errors"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return _ingested(spark, sf)[1].withColumn("field_errors", errors)
+
+
+@query
+def ingress_chain_stream(spark, sf):
+    """Calls through ingress and processor: what becomes of every accepted one."""
+    entered, _ = _ingested(spark, sf)
+    folders = processor_stream_job.ProcessorFolders(f"{entered.root}/processor")
+    return processor_stream_job.processed_arrived(processor_stream_job.consume(spark, entered.requests), folders)
