@@ -86,17 +86,16 @@ def _labelled(checked: DataFrame, new: DataFrame, existing: DataFrame | None) ->
 def narrowed(existing: DataFrame, batch: DataFrame, rows: int) -> DataFrame:
     """Ledger keys a small batch can meet.
 
-    The batch travels to the ledger scan; the ledger itself is not shuffled. A larger
-    batch leaves the choice of join to Spark.
+    The batch travels to the ledger, whose key columns are scanned once and not shuffled. A
+    larger batch leaves the choice of join to Spark.
     """
     keys = existing.select("transaction_id", *schemas.ACCOUNT_KEY)
     if rows > BROADCAST_BATCH_ROWS:
         return keys
-    ids = F.broadcast(batch.select("transaction_id").distinct())
-    accounts = F.broadcast(batch.select(*schemas.ACCOUNT_KEY).distinct())
-    by_id = keys.join(ids, "transaction_id", "left_semi")
-    by_account = keys.join(accounts, list(schemas.ACCOUNT_KEY), "left_semi")
-    return by_id.unionByName(by_account).distinct()
+    ids = batch.select("transaction_id").distinct().withColumn("_same_id", F.lit(True))
+    accounts = batch.select(*schemas.ACCOUNT_KEY).distinct().withColumn("_same_account", F.lit(True))
+    met = keys.join(F.broadcast(ids), "transaction_id", "left").join(F.broadcast(accounts), list(schemas.ACCOUNT_KEY), "left")
+    return met.filter(F.col("_same_id") | F.col("_same_account")).select(*keys.columns)
 
 
 def batch_counters(labelled: DataFrame) -> DataFrame:

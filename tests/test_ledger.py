@@ -150,3 +150,15 @@ def test_payloads_keep_order_and_chunk(spark):
         body = json.loads(found[("https://a.example", 1)]["payload"])
         assert [u["transactionId"] for u in body] == [f"tx-{n}" for n in range(300) if n % 3][100:]
         assert set(body[0]) == {"transactionId", "status", "correlationId", "occurredAt"}
+
+
+def test_small_batch_scans_the_ledger_once_and_leaves_it_in_place(spark, tmp_path):
+    stored = ledger.ledger_rows(log(spark, *[log_event(n, account_id=f"a{n}") for n in range(50)]), F.col("processed_at"))
+    stored.write.parquet(str(tmp_path / "ledger"))
+    existing = spark.read.parquet(str(tmp_path / "ledger"))
+    batch = log(spark, log_event(3, account_id="x"), log_event(99, account_id="a7", idempotency_key="idem-7"), log_event(98))
+    met = ledger.narrowed(existing, batch, 3)
+    assert sorted(r["transaction_id"] for r in met.collect()) == ["tx-3", "tx-7"]
+    plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") == 1 and "SortMergeJoin" not in plan
+    assert "ReadSchema: struct<transaction_id:string,idempotency_key:string,account_id:string>" in plan
