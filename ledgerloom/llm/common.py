@@ -32,10 +32,9 @@ SETTINGS = {
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-# Python workers serve many tasks: what a task frees goes back to the machine, not to a heap
-# that only grows.
-FOR_WORKERS = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2",
-               "ARROW_DEFAULT_MEMORY_POOL": "system"}
+# Python workers serve many tasks: large arrays that a task frees go back to the machine, not to
+# a heap that only grows.
+FOR_WORKERS = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20), "MALLOC_ARENA_MAX": "2"}
 
 
 def ready(spark: SparkSession) -> SparkSession:
