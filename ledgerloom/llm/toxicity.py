@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, whole_text
-from .vocabulary import PART_BYTES, parts_by_bytes, spread
+from .vocabulary import parts_by_bytes, spread
 
 GRAMS = (3, 4, 5, 6)
-BUCKET_BITS = 18
+# Letters left open in n-grams of a length: first and number.
+OPEN_RUNS = {6: ((1, 2), (2, 2), (3, 2))}
+_BASE = np.uint64(0x100000001B3)
+BUCKET_BITS = 20
 WIDTH = 4
 # A text's mean is small next to the weight of one word: the scale keeps steps even.
 SCALE = 100.0
@@ -33,11 +36,13 @@ SAMPLE_CHARS = 10_000
 # so many times as high.
 LEAST_ERRORS, LEAST_EXCESS, LEAST_RATIO, PER_TEXT = 6.0, 0.8, 8.0, 3
 # Counts as so many untrained n-grams in the mean of a word, which damps words with few.
-UNTRAINED = 4.0
+UNTRAINED = 2.0
 STEPS = 100
 RATE = 0.05
 
-_EDGES = pa.scalar(" ")
+# Bytes of text whose n-grams are held at a time.
+SCORED_BYTES = 1 << 20
+
 _STRIPPED = ".,;:!?\"'()[]{}«»„“”…"
 
 
@@ -54,24 +59,37 @@ def _constant(bias: float) -> Model:
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word index and bucket of every n-gram of ``<word>`` (at least one per word)."""
+    """Word index and bucket of every n-gram of ``<word>`` (at least one per word).
+
+    N-grams of the lengths in ``OPEN_RUNS`` come once more for each run of inner letters there that
+    is left open, so that a changed letter, or two in changed order, leave some that cover it.
+    """
     marked = [f"<{w}>" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     owner = np.repeat(np.arange(len(marked)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
     found_words, found = [], []
+
+    def add(hashes: np.ndarray, at: np.ndarray) -> None:
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        found.append((mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+        found_words.append(owner[at].astype(np.int32))
+
     rolled = np.zeros(len(codes), np.uint64)
     for n in range(1, GRAMS[-1] + 1):
-        shifted = np.zeros(len(codes), np.uint64)
-        shifted[:max(0, len(codes) - n + 1)] = codes[n - 1:]
-        rolled = rolled * np.uint64(0x100000001B3) + shifted + np.uint64(1)
+        rolled = rolled * _BASE
+        rolled[:max(0, len(codes) - n + 1)] += codes[n - 1:]
         if n not in GRAMS:
             continue
-        fits = (left >= n) if n > GRAMS[0] else (left >= n) | (left == np.repeat(sizes, sizes))
-        mixed = (rolled[fits] ^ (rolled[fits] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        found.append((mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-        found_words.append(owner[fits])
+        at = np.flatnonzero((left >= n) if n > GRAMS[0] else (left >= n) | (left == np.repeat(sizes, sizes)))
+        whole = rolled[at]
+        add(whole, at)
+        for first, length in OPEN_RUNS.get(n, ()):
+            hashes = whole.copy()
+            for k in range(first, first + length):
+                hashes -= codes[at + k] * np.uint64(pow(int(_BASE), n - 1 - k, 1 << 64))
+            add(hashes, at)
     return np.concatenate(found_words), np.concatenate(found)
 
 
@@ -185,7 +203,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
 def scores_of(texts: pa.Array, model: Model) -> np.ndarray:
     """Probability of label 1 for each text; a text without words has that of the bias."""
     total, number = np.zeros(len(texts)), np.zeros(len(texts))
-    for a, b in parts_by_bytes(texts, PART_BYTES):
+    for a, b in parts_by_bytes(texts, SCORED_BYTES):
         words, places, counts = words_of(texts.slice(a, b - a))
         if not len(places):
             continue

@@ -55,6 +55,22 @@ def test_texts_with_all_rude_words_misspelt():
     assert found[labels[600:] == 1].mean() > 0.85 and found[labels[600:] == 0].mean() < 0.02
 
 
+def test_two_inner_letters_in_changed_order():
+    texts, labels = corpus(6, 900)
+    model = X.train(texts[:600], labels[:600], np.ones(600))
+    plain = {w for t, y in zip(texts, labels) if not y for w in t.split()}
+    swapped = lambda w: w if w in plain else w[:4] + w[5] + w[4] + w[6:]
+    held = [" ".join(map(swapped, t.split())) for t, y in zip(texts[600:], labels[600:]) if y]
+    assert (X.scores_of(pa.array(held), model) >= 0.5).mean() > 0.9
+
+
+def test_subwords_leave_runs_of_letters_open():
+    word, gram = X.subwords(["idiot", "idoit", "a", ""])
+    sets = [set(gram[word == k].tolist()) for k in range(4)]
+    assert all(sets) and len(sets[0] & sets[1]) >= 2
+    assert len(sets[2]) == len(sets[3]) == 1
+
+
 def test_few_labels_are_enough():
     texts, labels = corpus(5, 1000)
     model = X.train(texts[:120], labels[:120], np.ones(120))
