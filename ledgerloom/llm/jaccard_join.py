@@ -407,18 +407,29 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 # Pairs compared with one copy of their first document.
 SALTS = 64
+# Ids (eight bytes each) that may be broadcast, so that only the texts of pairs are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs ``a``, ``b`` whose shingle sets are similar enough, compared in full.
 
     Each text travels once per pair it stands second in; that of the first member once per
-    salt, so that a document in very many pairs spreads over tasks.
+    salt, so that a document in very many pairs spreads over tasks. Texts in no pair stay where
+    they are while the ids in pairs are few enough to broadcast; beyond, all texts meet the
+    pairs in a shuffle.
     """
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    needed = staged(ends.distinct(), "paired")
+    n_needed = needed.count()
+    if not n_needed:
+        return pairs.select("a", "b")
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
     lines = salted.select("a", "salt", F.col("b").alias("id"), F.lit(1).alias("turn")).unionByName(
         salted.select("a", "salt", F.col("a").alias("id"), F.lit(0).alias("turn")).distinct())
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    if n_needed <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(needed), "id", "left_semi")
     ordered = (lines.join(texts, "id").repartition("a", "salt")
                .sortWithinPartitions("a", "salt", "turn").select("a", "salt", "turn", "id", "text"))
 
@@ -543,7 +554,8 @@ def joined(docs: DataFrame) -> DataFrame:
         apart = placed.groupBy("sig").agg(
             F.min("own").alias("x"), F.max("own").alias("y"), F.count(F.lit(1)).alias("members")).filter("x <> y")
         open_rows = placed.join(apart.select("sig", "members"), "sig").join(sets, "id")
-        more = staged(survivors(open_rows, tries), "survivors").distinct().join(tested, ["a", "b"], "left_anti")
+        found_apart = staged(survivors(open_rows, tries), "survivors")
+        more = staged(found_apart.distinct().join(tested, ["a", "b"], "left_anti"), "untested")
         extra = staged(verified(docs, more), "links")
         if not extra.isEmpty():
             known = near.select(F.col("id").alias("a"), F.col("component_id").alias("b"))

@@ -115,6 +115,21 @@ def test_any_text_of_an_id_links_in_a_bucket(llm, make, monkeypatch):
     assert sorted(tuple(r) for r in J.joined(make(rows)).collect()) == brute(rows)
 
 
+def test_more_ids_in_pairs_than_are_broadcast(make, monkeypatch):
+    monkeypatch.setattr(J, "BROADCAST_IDS", 3)
+    rows = corpus(4, [f"p{k}" for k in range(20)])
+    assert sorted(tuple(r) for r in J.joined(make(rows)).collect()) == brute(rows)
+
+
+def test_pairs_found_in_several_parts_come_once(llm):
+    rng = np.random.default_rng(1)
+    pairs = rng.integers(0, 30, (400, 2))
+    rows = [J._dealt_pairs(J._rows(J.PAIR, part[:, 0], part[:, 1]), 7) for part in np.split(pairs, 4)]
+    table = [(J.PAIR, int(a), int(b), bytearray(bits)) for r in rows for a, b, bits in zip(r["a"], r["b"], r["bits"])]
+    got = [tuple(r) for r in J.distinct_pairs(llm.createDataFrame(table, J.FOUND)).collect()]
+    assert sorted(got) == sorted(set(map(tuple, pairs.tolist())))
+
+
 @pytest.mark.parametrize("local", [2, 1000])
 def test_ids_with_several_texts(make, monkeypatch, local):
     monkeypatch.setattr(J, "LOCAL_GROUP", local)
