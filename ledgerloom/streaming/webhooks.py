@@ -20,7 +20,7 @@ PAYLOAD = T.StructType([
 
 def consume(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """Decoded notifications; ``undecodable`` marks those that cannot be delivered anywhere."""
-    return decoded(record_stream(spark, path, RECORD, fmt, bounded=True, **options), schemas.WEBHOOK_WIRE)
+    return decoded(record_stream(spark, path, RECORD, fmt, **options), schemas.WEBHOOK_WIRE)
 
 
 def letters_path(path: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.operators import signatures
+from ledgerloom.sources import records
 from ledgerloom.sources.records import decoded, record_stream
 from ledgerloom.streaming import ingress, processor
 from ledgerloom.streaming.runs import Place
@@ -107,3 +108,17 @@ def test_events_feed_the_processor(spark, tmp_path):
                                         processor.ProcessorFolders(str(tmp_path / "processor")))
     sent = {r["transaction_id"] for r in done.filter(F.col("code") == 202).collect()}
     assert {r["transaction_id"]: r["outcome"] for r in after.collect()} == dict.fromkeys(sent, "PROCESSED")
+
+
+def test_files_out_of_time_order_are_judged_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "BYTES_PER_TRIGGER", 1, raising=False)
+    used = lambda n, at: call(n, nonce="n", received_at=T0 + timedelta(seconds=at),
+                              ts_header=(T0 + timedelta(seconds=at)).strftime("%Y-%m-%dT%H:%M:%SZ"))
+    for rows in ([used(2, 200)], [used(1, 0), used(3, 60)]):
+        spark.createDataFrame(rows, ingress.CALL).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    folders = ingress.IngressFolders(str(tmp_path / "root"))
+    done = ingress.ingested_arrived(record_stream(spark, str(tmp_path / "in"), ingress.CALL), folders, merchants(spark), nonce_minutes=2)
+    assert told(done) == {1: (202, None), 2: (202, None), 3: (401, "Replay detected")}
+    after = processor.processed_arrived(processor.consume(spark, folders.requests),
+                                        processor.ProcessorFolders(str(tmp_path / "processor")))
+    assert sorted(r["outcome"] for r in after.collect()) == ["PROCESSED", "PROCESSED"]

@@ -12,6 +12,7 @@ from ledgerloom import schemas
 from ledgerloom.operators import deadletter, webhooks
 from ledgerloom.operators.idempotency import accepted_log, classify
 from ledgerloom.operators.validate import first_failure, valid
+from ledgerloom.sources import records as record_source
 from ledgerloom.sources.records import decoded, encoded, positioned
 from ledgerloom.streaming import log as log_stream
 from ledgerloom.streaming import processor
@@ -146,6 +147,23 @@ def test_the_ledger_consumer_reads_the_log(spark, tmp_path):
     assert {r["transaction_id"] for r in entered.collect()} | refused == accepted
 
 
+def test_files_out_of_time_order_are_judged_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(record_source, "BYTES_PER_TRIGGER", 1, raising=False)
+    folders, hours = processor.ProcessorFolders(str(tmp_path / "root")), {1: 100, 2: 0, 3: 47}
+    for n, h in hours.items():
+        row = requests(spark, request(n, idempotency_key="k", created_at=T0 + timedelta(hours=h)))
+        processor.publish_raw(sent(spark, row).coalesce(1), str(tmp_path / "in"))
+    done = processor.processed_arrived(processor.consume(spark, str(tmp_path / "in")), folders)
+    assert {s: v[1] for s, v in by_seq(done).items()} == {1: "PROCESSED", 2: "PROCESSED", 3: "DUPLICATE_REJECTED"}
+    ledger = log_stream.LedgerFolders(str(tmp_path / "ledger"))
+    # Both log events stand for one account and key: the ledger takes the earlier one.
+    parts = decoded(spark.read.schema(log_stream.RECORD).parquet(folders.log), schemas.LOG_WIRE)
+    for seq in (1, 2):
+        log_stream.publish(parts.filter(F.col("seq") == seq).coalesce(1), str(tmp_path / "log"))
+    entered = log_stream.ledger_arrived(log_stream.consume(spark, str(tmp_path / "log")), ledger)
+    assert [r["transaction_id"] for r in entered.collect()] == ["tx-2"]
+
+
 def test_records_of_a_topic_get_their_position(spark):
     topic = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType()),
                           T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()),
