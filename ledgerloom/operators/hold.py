@@ -29,7 +29,8 @@ FOLD_ROWS = ("ledgerloom.fold.rows", 2_000)
 BROADCAST_HOLDS = 200_000
 SALTS = 64
 
-AT, NEXT, HELD, HOLDER, ACQUIRED = "_at", "_next", "held_since", "holder", "acquired"
+AT, NEXT, SINCE = "_at", "_next", "_since"
+HELD, HOLDER, ACQUIRED = "held_since", "holder", "acquired"
 
 
 def hold(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], owner: str,
@@ -52,10 +53,33 @@ def hold(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], owne
 
 
 def _folded(df: DataFrame, keys, at, order, owner, ttl: int) -> DataFrame:
+    """Groups small enough for one task.
+
+    A row without a moment, and one that comes a whole ``ttl`` after the row before it, acquire
+    in any case, and what comes within ``ttl`` of such a row is held by it. Only rows beyond, of
+    which no gap tells who holds them, are folded.
+    """
+    moment = F.unix_micros(at)
+    in_order = Window.partitionBy(*keys).orderBy(moment, *order)
+    before = F.lag(moment).over(in_order)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.when(F.col(ACQUIRED), F.struct(F.col(AT), F.col(owner).alias("owner")))
+    seen = (df.repartition(*keys).withColumn(AT, moment)
+            .withColumn(ACQUIRED, F.coalesce(F.col(AT) - before < ttl, F.lit(False)) == F.lit(False))
+            .withColumn(SINCE, F.last(begun, ignorenulls=True).over(so_far)))
+    beyond = F.coalesce(F.col(AT) >= F.col(SINCE)[AT] + ttl, F.lit(False))
+    clear = seen.filter(~beyond).select(
+        *df.columns, ACQUIRED, F.col(SINCE)["owner"].alias(HOLDER), F.timestamp_micros(F.col(SINCE)[AT]).alias(HELD))
+    rest = seen.filter(beyond).select(*df.columns, F.col(SINCE)[AT].alias(SINCE))
+    return clear.unionByName(_in_turn(rest, keys, at, order, owner, ttl).drop(SINCE))
+
+
+def _in_turn(df: DataFrame, keys, at, order, owner, ttl: int) -> DataFrame:
+    """The fold itself, over the rows of each key and stretch that begins at ``_since``."""
     entry = F.struct(F.unix_micros(at).alias("at"), *order,
                      F.col(owner).alias("owner"), F.struct(*df.columns).alias("row"))
-    # Rows move as they are: gathering per key before the shuffle would rarely join two.
-    grouped = df.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+    # Rows lie by key already.
+    grouped = df.groupBy(*keys, SINCE).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
     owner_type = df.schema[owner].dataType.simpleString()
     # The fold carries only the acquisitions: which row, when, and whose.
     none = F.array().cast(f"array<struct<i:int,at:bigint,owner:{owner_type}>>")

@@ -57,15 +57,20 @@ def persist(log: DataFrame, existing: DataFrame | None = None) -> Persisted:
     """
     checked = log.withColumn("violation", ledger_violation())
     fitting = checked.filter(F.col("violation").isNull()).drop("violation")
-    # The record's text travels with the labels only.
-    names = [c for c in log.columns if c != "value"]
-    fresh = first_of(fitting, ["transaction_id"], LOG_ORDER, names)
-    if existing is not None:
-        fresh = matched(fresh, existing.select("transaction_id"), ["transaction_id"], "left_anti")
-    new = first_of(fresh, schemas.ACCOUNT_KEY, LOG_ORDER, names).select(*names)
-    if existing is not None:
-        new = matched(new, existing.select(*schemas.ACCOUNT_KEY), schemas.ACCOUNT_KEY, "left_anti")
-    return Persisted(new, _labelled(checked, new, existing))
+
+    def entering(names: list[str]) -> DataFrame:
+        fresh = first_of(fitting, ["transaction_id"], LOG_ORDER, names)
+        if existing is not None:
+            fresh = matched(fresh, existing.select("transaction_id"), ["transaction_id"], "left_anti")
+        new = first_of(fresh, schemas.ACCOUNT_KEY, LOG_ORDER, names).select(*names)
+        if existing is not None:
+            new = matched(new, existing.select(*schemas.ACCOUNT_KEY), schemas.ACCOUNT_KEY, "left_anti")
+        return new
+
+    # The record's text travels with the labels only, which need no more than ids and order.
+    new = entering([c for c in log.columns if c != "value"])
+    winners = entering(["transaction_id", *schemas.ACCOUNT_KEY, *LOG_ORDER])
+    return Persisted(new, _labelled(checked, winners, existing))
 
 
 def _labelled(checked: DataFrame, new: DataFrame, existing: DataFrame | None) -> DataFrame:

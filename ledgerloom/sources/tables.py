@@ -53,7 +53,8 @@ def stored_or_empty(spark: SparkSession, schema: T.StructType, path: str) -> Dat
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        # Known to be empty without a Python worker, so that joins with it fall away.
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).limit(0)
 
 
 def settings_table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:

@@ -112,3 +112,15 @@ def test_null_keys_and_moments_on_every_path(spark, fold_rows, seed):
     done = hold(requests(spark, *rows), ["merchant_id", "idempotency_key"], "created_at", ["seq", "delivery_no"],
                 "transaction_id", 60, fold_rows)
     assert by_seq(done, "acquired", "holder", "held_since") == brute_force_with_nulls(rows, 60)
+
+
+def test_only_rows_beyond_a_sure_hold_are_folded(spark, monkeypatch):
+    folded, fold = [], hold_module._in_turn
+
+    def counted(df, *rest):
+        folded.extend(r["seq"] for r in df.collect())
+        return fold(df, *rest)
+
+    monkeypatch.setattr(hold_module, "_in_turn", counted)
+    assert by_seq(classify(requests(spark, *literal_cases()), fold_rows=100), "outcome")[5] == "PROCESSED"
+    assert sorted(folded) == [5, 6]

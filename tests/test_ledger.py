@@ -162,3 +162,9 @@ def test_small_batch_scans_the_ledger_once_and_leaves_it_in_place(spark, tmp_pat
     plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("FileScan parquet") == 1 and "SortMergeJoin" not in plan
     assert "ReadSchema: struct<transaction_id:string,idempotency_key:string,account_id:string>" in plan
+
+
+def test_labels_are_decided_by_narrow_rows(spark):
+    plan = persist(log(spark, log_event(1), log_event(2)))
+    lines = plan.labelled._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in lines if "Aggregate" in line and "amount" in line]
