@@ -26,7 +26,7 @@ WINDOW_ROWS = ("ledgerloom.window.rows", 1_000_000)
 SLICE_ROWS = 1_000_000
 MOST_SLICES = 20_000
 
-SLICE = "_slice"
+SLICE, PLACE = "_slice", "_in_slice"
 
 
 def window_rows(df: DataFrame) -> int:
@@ -84,12 +84,16 @@ def split_hot(df: DataFrame, keys: Sequence[str], rows: int,
     return matched(df, hot.keys, keys, "left_anti"), matched(df, hot.keys, keys, "left_semi"), hot.rows
 
 
-def sliced(df: DataFrame, order: Sequence[str], rows: int, label: str) -> DataFrame:
+def sliced(df: DataFrame, order: Sequence[str], rows: int, label: str, place: str | None = None) -> DataFrame:
     """About ``rows`` rows cut into sorted ranges of about equal size, numbered in ``_slice``.
 
-    Staged, because the ranges come from a sample and must not be drawn twice.
+    Staged, because the ranges come from a sample and must not be drawn twice. ``place`` names a
+    column that numbers the rows of a slice in their order, without gaps.
     """
     ranged = df.repartitionByRange(slices(df, rows), *order)
+    if place:
+        # Spark's ids are consecutive in a partition, in the order of its rows.
+        ranged = ranged.sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
     return staged(ranged.withColumn(SLICE, F.spark_partition_id()), label)
 
 
@@ -109,13 +113,14 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
     plain = cold.withColumn(name, number)
     if hot is None:
         return plain
-    cut = sliced(hot, keys + order, hot_rows, "rank")
-    sizes = cut.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    # Rows are numbered where they are sorted and written once; only first numbers per slice follow.
+    cut = sliced(hot, keys + order, hot_rows, "rank", PLACE)
+    sizes = cut.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"), F.min(PLACE).alias("_start"))
     offsets = before_slice(sizes, keys, "_n", "_before")
-    within = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order))
-    placed = cut.withColumn("_within", within)
-    joined = matched(placed, offsets, [*keys, SLICE], "inner")
-    whole = joined.select(*df.columns, (F.col("_before") + F.col("_within")).alias(name))
+    # One row per slice and hot key.
+    joined = matched(cut, F.broadcast(offsets), [*keys, SLICE], "inner")
+    number = F.col("_before") + F.col(PLACE) - F.col("_start") + 1
+    whole = joined.select(*df.columns, number.cast("bigint").alias(name))
     return plain.unionByName(whole)
 
 

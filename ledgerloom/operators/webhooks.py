@@ -60,7 +60,10 @@ def dispatch(*updates: DataFrame) -> DataFrame:
 def payloads(events: DataFrame, counted: DataFrame | None = None, rows: int | None = None,
              chunk: int = fixed.WEBHOOK_BATCH_ROWS, order: Sequence[str] = DISPATCH_ORDER) -> DataFrame:
     """Payloads of at most ``chunk`` updates per address, in stream order."""
-    placed = ranked(dispatchable(events), ["callback_url"], order, "_place", rows, counted)
+    # Only what a payload shows or is ordered by travels.
+    shown = ["callback_url", "transaction_id", "status", "correlation_id", "occurred_at"]
+    narrow = dispatchable(events).select(*dict.fromkeys([*shown, *order]))
+    placed = ranked(narrow, ["callback_url"], order, "_place", rows, counted).select(*shown, "_place")
     update = F.struct(
         "_place",
         F.struct(

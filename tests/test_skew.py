@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import skew
+from ledgerloom.operators import skew, webhooks
 from ledgerloom.operators.loadrun import percentiles
 
 
@@ -50,3 +50,18 @@ def test_percentiles_do_not_depend_on_the_way(spark, size):
     one = percentiles(values, "v", quantiles, names).first()
     many = percentiles(values, "v", quantiles, names, buffered=0).first()
     assert [round(x, 9) for x in one] == [round(x, 9) for x in many]
+
+
+def test_hot_rows_are_ranked_where_they_were_sorted(hot):
+    plan = skew.ranked(hot, ["k"], ["t", "id"], "n", 0)._jdf.queryExecution().optimizedPlan().toString()
+    whole = plan[plan.index("_in_slice"):]
+    assert "row_number" not in whole and "RepartitionByExpression" not in whole
+
+
+def test_payloads_leave_event_ids_behind(spark):
+    events = spark.createDataFrame([("e1", "https://a", "t", "ACCEPTED", "c", 1, 0, 1, 0)], (
+        "event_id string, callback_url string, transaction_id string, status string, correlation_id string, "
+        "seq long, delivery_no int, stage_no int, copy_no int")).withColumn("occurred_at", F.current_timestamp())
+    done = webhooks.payloads(events, rows=0)
+    assert done.count() == 1
+    assert not any("event_id" in spark.read.parquet(f).columns for f in done.inputFiles())
