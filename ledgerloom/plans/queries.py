@@ -15,7 +15,8 @@ from ..operators import access, audit, deadletter, idempotency, ingress, ledger,
 from ..operators import validate, webhooks
 from ..operators.skew import window_rows
 from ..session import fresh_path, prepare, staged
-from ..sources.records import decoded, record_stream
+from ..sources.records import decoded, record_batch, record_stream
+from ..sources.sinks import publish_records
 from ..sources.tables import EVENTS, GIVEN, arriving_path, since
 from ..streaming import idempotency as idempotency_stream
 from ..streaming import ingress as ingress_stream_job
@@ -391,9 +392,10 @@ def ledger_stream(spark, sf):
 def replay_into_ledger(spark, sf):
     """A consumer that has seen part of the log; then the whole log, replayed into its ledger."""
     folders, part = log_stream.LedgerFolders(fresh_path(spark, "ledger")), fresh_path(spark, fixed.LOG_STREAM)
-    log_stream.publish(derive.delivered_log(spark, sf).filter(F.col("seq") % 3 == 0), part)
+    whole = _published(spark, sf)
+    publish_records(record_batch(spark, whole, log_stream.RECORD).filter(F.col("seq") % 3 == 0), part)
     log_stream.ledger_arrived(log_stream.consume(spark, part), folders)
-    rebuilt, _ = log_stream.replay_into(spark, _published(spark, sf), folders)
+    rebuilt, _ = log_stream.replay_into(spark, whole, folders)
     return rebuilt
 
 

@@ -143,7 +143,8 @@ def replay_into(spark: SparkSession, path: str, folders: LedgerFolders, fmt: str
     records = decoded(positioned(record_batch(spark, path, RECORD, fmt, **options)), schemas.LOG_WIRE)
     place = Place(f"replay-{uuid.uuid4().hex}", 0)
     persist_batch(records, place, folders, notify=False)
-    return stored_ledger(spark, folders).select(*schemas.LEDGER.fieldNames()), records.count()
+    read = record_batch(spark, path, RECORD, fmt, **options).count()
+    return stored_ledger(spark, folders).select(*schemas.LEDGER.fieldNames()), read
 
 
 def audit_arrived(log: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -6,6 +6,8 @@ import __spark_entry__ as entry
 import pytest
 from compare import connect, difference
 
+from ledgerloom.plans import derive
+
 SOURCE = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SOURCE), reason="no test tables")
 
@@ -26,3 +28,10 @@ def test_every_query_has_sql():
 
 def test_entry(spark):
     assert {r["outcome"] for r in entry.entry(spark).collect()} <= {"PROCESSED", "DUPLICATE_REPLAY", "DUPLICATE_REJECTED"}
+
+
+def test_replay_derives_the_log_once(spark, monkeypatch):
+    calls, whole = [], derive.delivered_log
+    monkeypatch.setattr(derive, "delivered_log", lambda *a: calls.append(a) or whole(*a))
+    assert entry.REGISTRY["replay_into_ledger"](spark, SOURCE).count() > 0
+    assert len(calls) == 1
