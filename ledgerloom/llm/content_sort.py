@@ -1,10 +1,10 @@
 """Exact duplicates by sorting the normalised content.
 
-Sampled splitters cut the rows into ranges of their content: its first characters, its
-digest, and for equal contents a hash of the id, so that a content held by a large share
-of all rows spreads over ranges of its own. Inside a range the rows are sorted externally;
-each is compared in full with its neighbour. What the parts of one content found is then
-combined by narrow rows.
+Splitters sampled from the first characters of the content cut the rows into ranges. Inside a
+range the rows are sorted externally by their whole content, and each is compared in full with
+its neighbour. Where very many rows begin alike, as copies of one content do, they are cut into
+parts by a hash of the id, each sorted and compared for itself. What the parts of one content
+found is then combined by narrow rows, which know it by its digests.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, documents, staged, whole_text
+from .common import BLANKS, documents, shuffle_parts, staged, whole_text
 
-# Characters of the content that the splitters carry; the digest orders what is equal in them.
-SPLITTER_CHARS = 32
-# Parts an equal content may be cut into.
-PARTS = 65_536
+# Characters of the content that the splitters carry, and those of the text that mostly hold them.
+SPLITTER_CHARS, LEADING_CHARS = 32, 128
+# Rows that begin alike beyond which they are cut into parts: so many, or this share of a
+# partition's rows; and the most parts.
+HEAD_ROWS, HEAD_SHARE, PARTS = 20_000, 0.25, 65_536
 
 
 def normalised(text: Column) -> Column:
@@ -27,30 +28,44 @@ def normalised(text: Column) -> Column:
     return reduce(lambda t, b: F.replace(t, F.lit(b), F.lit("")), BLANKS, text)
 
 
+def leading(text: Column) -> Column:
+    """The first characters of the content; the whole text is read only if it begins with white space."""
+    short = normalised(F.substring(text, 1, LEADING_CHARS))
+    return F.substring(F.when(F.length(short) >= SPLITTER_CHARS, short).otherwise(normalised(text)), 1, SPLITTER_CHARS)
+
+
+def _cuts(headed: DataFrame, rows: int) -> DataFrame:
+    """Heads of very many rows, and into how many parts they are cut; at most a few per partition."""
+    most = max(1, min(HEAD_ROWS, int(rows * HEAD_SHARE) // shuffle_parts(headed.sparkSession)))
+    crowded = headed.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    return staged(crowded.select("head", F.least(F.ceil(F.col("n") / most), F.lit(PARTS)).alias("cuts")), "heads")
+
+
 def compared(docs: DataFrame) -> DataFrame:
     """A narrow row per document: digest, class among equal digests, length, and first or repeat.
 
-    ``kin`` counts the full comparisons that failed among rows of one digest and hash (0
+    ``kin`` numbers the contents of one digest and hash that the sort has told apart (0
     throughout, unless digests collide). ``again`` marks a row equal in id and text length to
     the one before it.
     """
-    rows = docs.select("doc_id", whole_text().alias("text"))
-    content = normalised(F.col("text"))
-    keyed = rows.select(
-        "doc_id", "text", F.substring(content, 1, SPLITTER_CHARS).alias("head"),
-        F.sha2(content.cast("binary"), 256).alias("text_sha256"), F.xxhash64(content).alias("mark"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
-    place = ["head", "text_sha256", "mark", "part"]
-    ranged = keyed.repartitionByRange(*place).select(
+    headed = docs.select("doc_id", whole_text().alias("text")).withColumn("head", leading(F.col("text")))
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("cuts")), F.lit(0))
+    placed = headed.join(F.broadcast(_cuts(headed.select("head"), docs.count())), "head", "left").select(
+        "head", part.alias("part"), "doc_id", "text")
+    place = ["head", "part"]
+    content = placed.repartitionByRange(*place).select(
         *place, "doc_id", normalised(F.col("text")).alias("content"), F.length("text").alias("n_points"))
     order = Window.partitionBy(*place).orderBy("content", F.desc("n_points"), "doc_id")
     same = F.col("content").eqNullSafe(F.lag("content").over(order))
     again = (same & F.col("doc_id").eqNullSafe(F.lag("doc_id").over(order))
              & (F.col("n_points") == F.lag("n_points").over(order)))
-    seen = ranged.select(*place, "doc_id", "content", "n_points", (~same).cast("int").alias("_new"), again.alias("again"))
-    return seen.select(
-        "doc_id", "text_sha256", "mark", "n_points", F.coalesce("again", F.lit(False)).alias("again"),
-        (F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("kin"))
+    seen = content.select(*place, "doc_id", "content", "n_points", (~same).cast("int").alias("_new"), again.alias("again"))
+    runs = seen.select(
+        *place, "doc_id", "n_points", F.coalesce("again", F.lit(False)).alias("again"),
+        F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
+        F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"), F.xxhash64("content").alias("mark"))
+    alike = Window.partitionBy(*place, "text_sha256", "mark").orderBy("run")
+    return runs.select("doc_id", "text_sha256", "mark", "n_points", "again", (F.dense_rank().over(alike) - 1).alias("kin"))
 
 
 def decided(docs: DataFrame) -> DataFrame:

@@ -54,3 +54,18 @@ def test_no_python_and_one_text_shuffle(make):
 def test_query_equals_its_sql(llm):
     from compare import connect, difference
     assert difference(C.op7_content_sort(llm, SMALL), connect(SMALL), C.OP7_SQL) is None
+
+
+def test_neighbours_are_those_of_the_content(make):
+    rows = [(1, "b" * 40), (2, "\n" * 200 + "b" * 40), (3, "b" * 32 + "a"), (4, None)]
+    plan = C.compared(make(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"lag\(content#\d+, -1, null\) windowspecdefinition\(head#\d+, part#\d+L?, content#", plan)
+    assert shown(tuple(r) for r in C.decided(make(rows)).collect()) == shown(plain(rows))
+
+
+def test_rows_that_begin_alike_are_cut_into_parts(make, monkeypatch):
+    monkeypatch.setattr(C, "HEAD_ROWS", 5)
+    rows = [(n, "x" * 40 + str(n % 7) + " " * (n % 3)) for n in range(90)]
+    headed = make(rows).select(C.leading(C.F.col("text")).alias("head"))
+    assert [tuple(r) for r in C._cuts(headed, 90).collect()] == [("x" * 32, 18)]
+    assert shown(tuple(r) for r in C.decided(make(rows)).collect()) == shown(plain(rows))
