@@ -118,7 +118,7 @@ def packed(tags: dict, docs: np.ndarray, places: np.ndarray, extra: np.ndarray)
     place as the difference from the one before, and an extra number (of one width)."""
     first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, int)
     count = np.diff(np.append(first, len(docs)))
-    steps = places.copy()
+    steps = places.astype(np.int64)
     steps[1:] -= places[:-1]
     steps[first] = places[first]
     parts = [np.ascontiguousarray(tags[c][docs[first]]).tobytes() for c in ("id", "k", "t")]
@@ -141,22 +141,29 @@ def unpacked(data: bytes, extra_kind: type) -> dict[str, np.ndarray]:
 
 
 def _gathered(blobs: list[bytes], kind: type) -> dict[str, np.ndarray] | None:
-    """Entries of many blobs in order of id, row of the id, and place."""
+    """Entries of many blobs in order of id, row of the id, and place. Empties the list."""
     if not blobs:
         return None
-    each = [unpacked(b, kind) for b in blobs]
-    merged = {c: np.concatenate([e[c] for e in each]) for c in each[0]}
+    each = []
+    while blobs:
+        each.append(unpacked(blobs.pop(0), kind))
+        each[-1]["place"] = each[-1]["place"].astype(np.int32)
+    merged = {c: np.concatenate([e.pop(c) for e in each]) for c in list(each[0])}
     order = np.lexsort((merged["k"], merged["id"]))
     starts = np.cumsum(merged["count"]) - merged["count"]
     count = merged["count"][order]
-    rows = spread(starts[order], count)
     out = {c: merged[c][order] for c in ("id", "k", "t")}
     new = np.ones(len(order), bool)
     new[1:] = (out["id"][1:] != out["id"][:-1]) | (out["k"][1:] != out["k"][:-1])
-    doc = np.repeat(np.cumsum(new) - 1, count)
-    place, extra = merged["place"][rows], merged["extra"][rows]
-    by = np.lexsort((place, doc))
-    return {c: out[c][new] for c in ("id", "k", "t")} | {"doc": doc[by], "place": place[by], "extra": extra[by]}
+    rows = spread(starts[order], count)
+    place, extra = merged.pop("place")[rows], merged.pop("extra")[rows]
+    del rows
+    doc = np.repeat((np.cumsum(new) - 1).astype(np.int32), count)
+    # A document mostly comes in one blob, and its places in their order.
+    if ((doc[1:] == doc[:-1]) & (place[1:] < place[:-1])).any():
+        by = np.lexsort((place, doc))
+        doc, place, extra = doc[by], place[by], extra[by]
+    return {c: out[c][new] for c in ("id", "k", "t")} | {"doc": doc, "place": place, "extra": extra}
 
 
 # Walking over documents with what belongs to their bucket.
@@ -288,15 +295,27 @@ def _through(df: DataFrame, parts: int, kind: type, decide) -> DataFrame:
                     yield {"t": [-1 - t], "payload": [payload]}
                 else:
                     held.setdefault(t, []).append(payload)
-        for blobs in held.values():
-            found = _gathered(blobs, kind)
-            chosen = decide(found["extra"])
+        while held:
+            found = _gathered(held.popitem()[1], kind)
+            chosen = decide(found.pop("extra"))
             for row in _back(found, found["doc"][chosen], found["place"][chosen]):
                 yield {"t": [-1 - row["t"][0]], "payload": row["payload"]}
 
     return map_arrow(df.repartition(parts, "t"), PACKED, work)
 
 
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def _places(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and place of every byte; a text has fewer than 2^31 bytes, so small numbers do."""
+    doc = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
+    place = np.arange(edges[-1], dtype=np.int32)
+    place -= edges[:-1].astype(np.int32)[doc]
+    return doc, place
+
+
 def _tags(t: int, ids: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
     return {"id": ids, "k": rows, "t": np.full(len(ids), t, np.int64)}
 
@@ -308,9 +327,8 @@ def repeated_samples(docs: DataFrame, buckets: int, parts: int, copies: DataFram
             data, edges = laid_out(texts)
             sizes = np.diff(edges)
             real = ~bucket.are_copies(ids, data, edges) & (sizes >= LENGTH)
-            doc = np.repeat(np.arange(len(ids)), sizes)
-            place = np.arange(len(data)) - edges[doc]
-            at = np.flatnonzero(_IN_COVER[place % PERIOD] & (place + DEPTH <= sizes[doc]) & real[doc])
+            doc, place = _places(edges)
+            at = np.flatnonzero(_IN_COVER[place % PERIOD] & (place <= (sizes - DEPTH).astype(np.int32)[doc]) & real[doc])
             if not len(at):
                 continue
             keys = window_hashes(data, DEPTH, 0)[at]
@@ -318,8 +336,9 @@ def repeated_samples(docs: DataFrame, buckets: int, parts: int, copies: DataFram
             tags = _tags(t, ids, rows)
             first, again = _first_mask(keys)
             yield from _back(tags, doc[again], place[again])
-            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            yield from _sent(tags, doc[first], place[first], part[first], keys[first].astype(np.uint32), parts)
+            keys, doc, place = keys[first], doc[first], place[first]
+            del first, again, at
+            yield from _sent(tags, doc, place, _part(keys, parts), keys.astype(np.uint32), parts)
 
     signed = map_arrow(_bucketed(docs, buckets, copies), PACKED, work)
     return staged(_through(signed, parts, np.uint32, lambda keys: _first_mask(keys)[1]), "samples")
@@ -339,18 +358,20 @@ def repeated_suffixes(docs: DataFrame, buckets: int, parts: int, copies: DataFra
             for d, i in enumerate(kept.tolist()):
                 np.add.at(near, edges[d] + np.maximum(flags[i] - PERIOD + 1, 0), 1)
                 np.add.at(near, edges[d] + flags[i] + 1, -1)
-            doc = np.repeat(np.arange(len(kept)), sizes)
-            place = np.arange(len(data)) - edges[doc]
-            at = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (place + LENGTH <= sizes[doc]))
+            doc, place = _places(edges)
+            at = np.flatnonzero((np.cumsum(near[:-1], dtype=np.int32) > 0) & (place <= (sizes - LENGTH).astype(np.int32)[doc]))
+            del near
             if not len(at):
                 continue
-            keys, choice = window_hashes(data, LENGTH, 0)[at], window_hashes(data, LENGTH, 1)[at]
+            keys, part = window_hashes(data, LENGTH, 0)[at], _part(window_hashes(data, LENGTH, 1)[at], parts)
             doc, place = doc[at], place[at]
+            del at
             tags = _tags(t, ids[kept], rows[kept])
             first, _ = _first_mask(keys)
             yield from _back(tags, doc[~first], place[~first])
-            part = ((choice >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            yield from _sent(tags, doc[first], place[first], part[first], keys[first], parts)
+            keys, doc, place, part = keys[first], doc[first], place[first], part[first]
+            del first
+            yield from _sent(tags, doc, place, part, keys, parts)
 
     signed = map_arrow(_bucketed(docs, buckets, copies.unionByName(_blobs(samples))), PACKED, work)
     return staged(_through(signed, parts, np.uint64, lambda keys: ~_first_mask(keys)[0]), "suffixes")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -93,3 +94,17 @@ def test_empty_table(make):
 def test_query_over_the_given_table(llm):
     rows = [(r["doc_id"], r["text"]) for r in llm.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert shown(tuple(r) for r in S.op8_suffix_dedup(llm, SMALL).collect()) == shown(plain(rows))
+
+
+def test_a_bucket_is_gathered_in_little_memory():
+    n, docs = 400_000, 200
+    tags = {"id": np.arange(docs), "k": np.zeros(docs, np.int64), "t": np.zeros(docs, np.int64)}
+    doc, place = np.repeat(np.arange(docs), n // docs), np.tile(np.arange(n // docs), docs)
+    half = [doc % 2 == h for h in (1, 0)]
+    blobs = [S.packed(tags, doc[h], place[h], place[h].astype(np.uint64)) for h in half]
+    tracemalloc.start()
+    found = S._gathered(blobs, np.uint64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found["doc"] == doc).all() and (found["place"] == place).all() and (found["extra"] == place).all()
+    assert peak < 50 * n
