@@ -458,6 +458,18 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return map_arrow(ordered, "a bigint, b bigint", work)
 
 
+def _apart(placed: DataFrame) -> DataFrame:
+    """Buckets of members in different components, one for each set of members.
+
+    Texts that are alike share many signatures; their pairs would be given once for each. Sets
+    are known by two 64-bit hashes and their size.
+    """
+    members = placed.groupBy("sig").agg(
+        F.min("own").alias("x"), F.max("own").alias("y"), F.count(F.lit(1)).alias("members"),
+        F.bit_xor(F.xxhash64("id")).alias("u"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("v")).filter("x <> y")
+    return members.groupBy("u", "v", "members").agg(F.min("sig").alias("sig"))
+
+
 # Pairs of a member that are tried before all of them are.
 FIRST_TRIES = 2
 
@@ -551,8 +563,7 @@ def joined(docs: DataFrame) -> DataFrame:
         # Buckets whose members are still apart.
         placed = staged(member.join(near, "id", "left").select(
             "sig", "id", F.coalesce("component_id", "id").alias("own")), "members")
-        apart = placed.groupBy("sig").agg(
-            F.min("own").alias("x"), F.max("own").alias("y"), F.count(F.lit(1)).alias("members")).filter("x <> y")
+        apart = _apart(placed)
         open_rows = placed.join(apart.select("sig", "members"), "sig").join(sets, "id")
         found_apart = staged(survivors(open_rows, tries), "survivors")
         more = staged(found_apart.distinct().join(tested, ["a", "b"], "left_anti"), "untested")

@@ -156,3 +156,22 @@ def test_long_chain_of_links(llm):
 def test_query_over_the_given_table(llm):
     rows = [(r["doc_id"], r["text"]) for r in llm.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in J.op10_jaccard_join(llm, SMALL).collect()) == brute(rows)
+
+
+def test_buckets_of_the_same_members_are_gone_through_once(make, monkeypatch):
+    seen, real = [], J.survivors
+
+    def noted(rows, tries=None):
+        groups = {}
+        for r in rows.collect():
+            groups.setdefault(r["sig"], set()).add(r["id"])
+        seen.append(sorted(map(sorted, groups.values())))
+        return real(rows, tries)
+
+    monkeypatch.setattr(J, "survivors", noted)
+    shared = " ".join(f"w{n}" for n in range(300))
+    rows = [(i, " ".join(f"own{i}x{n}" for n in range(60)) + " " + shared) for i in range(4)]
+    got = J.joined(make(rows)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, i) for i in range(4)}
+    assert seen and seen[0]
+    assert all(a != b for groups in seen for a, b in zip(groups, groups[1:]))
