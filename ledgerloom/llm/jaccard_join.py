@@ -16,7 +16,8 @@ Only enough pairs are verified to settle who is connected: first each bucket's s
 member against the others, then pairs of the buckets whose members are still apart, first a
 few for each member, and at last all that are left. Those pairs are gone through in blocks
 of a bounded number of members and dropped where the parity bitmaps of the two sets differ
-in more bits than linked sets may differ in shingles.
+in more bits than linked sets may differ in shingles. A pair lies in many buckets, often
+hundreds, but is given in one: the largest that both members name.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ LOCAL_GROUP = 8
 # Bits of a set's parity bitmap, and members of a bucket compared in one block.
 BITMAP_BITS = 1024
 BLOCK_MEMBERS = 2048
+# Largest buckets that a member names.
+NAMED = 16
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -470,6 +473,20 @@ def _apart(placed: DataFrame) -> DataFrame:
     return members.groupBy("u", "v", "members").agg(F.min("sig").alias("sig"))
 
 
+def _open_rows(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of the buckets still apart, with size, bitmap and the largest buckets of each member.
+
+    All members name buckets in one order, so two that name a bucket in common agree which
+    of those comes first. A member has no more buckets than signatures.
+    """
+    rows = placed.join(_apart(placed).select("sig", "members"), "sig")
+    at = F.sort_array(F.collect_list(F.struct((-F.col("members")).alias("order"), "sig")))
+    mine = rows.groupBy("id").agg(F.min("own").alias("own"), at.alias("at")).join(sets, "id")
+    named = F.slice("at", 1, NAMED).getField("sig").alias("named")
+    return mine.select("id", "own", "n", "bits", named, F.explode("at").alias("at")).select(
+        F.col("at.sig").alias("sig"), (-F.col("at.order")).alias("members"), "id", "own", "n", "bits", "named")
+
+
 # Pairs of a member that are tried before all of them are.
 FIRST_TRIES = 2
 
@@ -478,13 +495,14 @@ def survivors(rows: DataFrame, tries: int | None = None) -> DataFrame:
     """Pairs ``a`` < ``b`` of a bucket, from different components, that may be similar enough.
 
     A large bucket is cut into blocks, and every two blocks meet in a task. With ``tries``
-    only so many are given for each member of a block (most connect it); without, all.
+    only so many are given for each member of a block (most connect it); without, all. A pair
+    comes from the first bucket that both name, and from each they share if they name none.
     """
     blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     met = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = met.select("sig", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
-                       "id", "own", "n", "bits")
+                       "id", "own", "n", "bits", "mine", "named")
     ordered = dealt.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
 
     def work(batches):
@@ -494,7 +512,12 @@ def survivors(rows: DataFrame, tries: int | None = None) -> DataFrame:
                 continue
             key = np.stack([batch.column(c).to_numpy() for c in ("sig", "low", "high")], 1)
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            held.append((key, *(batch.column(c).to_numpy() for c in ("id", "own", "n")), bits))
+            named = batch.column("named")
+            start, end = named.offsets.to_numpy()[:-1, None], named.offsets.to_numpy()[1:, None]
+            # Shorter lists repeat their last.
+            named = named.values.to_numpy()[np.minimum(start + np.arange(NAMED), end - 1)]
+            held.append((key, *(batch.column(c).to_numpy() for c in ("id", "own", "n")), bits,
+                         batch.column("mine").to_numpy(), named))
             # The last group may go on in the next batch: it is kept back.
             whole = [np.concatenate(x) for x in zip(*held)]
             last = np.flatnonzero((whole[0] != whole[0][-1]).any(1))
@@ -508,12 +531,26 @@ def survivors(rows: DataFrame, tries: int | None = None) -> DataFrame:
     return map_arrow(ordered, "a bigint, b bigint", work)
 
 
-def _close(key, ids, own, n, bits, tries: int | None) -> Iterator[dict]:
-    """Pairs within groups of equal keys that neither sizes nor bitmaps exclude."""
+def _given_here(sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the bucket is the first that both members of a pair name, or they name none in common."""
+    common = np.zeros(left.shape, bool)
+    for k in range(right.shape[1]):
+        common |= left == right[:, k, None]
+    first = left[np.arange(len(left)), common.argmax(1)]
+    return (first == sig) | ~common.any(1)
+
+
+def _close(key, ids, own, n, bits, block, named, tries: int | None) -> Iterator[dict]:
+    """Pairs within groups of equal keys that neither sizes nor bitmaps exclude.
+
+    Where two blocks meet, pairs of one block are left to the group of that block alone.
+    """
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
     end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
     left = np.arange(len(key))
     out = [np.zeros((0, 2), np.int64)]
+    alone = key[:, 1] == key[:, 2]
+    split = not alone.all()
     tried = np.zeros(len(key), np.int64)
     for shift in range(1, len(key)):
         left = left[left + shift < end[left]]
@@ -522,11 +559,16 @@ def _close(key, ids, own, n, bits, tries: int | None) -> Iterator[dict]:
         a, b = left, left + shift
         small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
         maybe = (own[a] != own[b]) & (OF * small >= NEED * large)
+        if split:
+            maybe &= alone[a] | (block[a] != block[b])
         a, b = a[maybe], b[maybe]
         most = (n[a] + n[b]) * (OF - NEED) // (OF + NEED)
         for words in (slice(0, 4), slice(0, None)):
             near = np.bitwise_count(bits[a, words] ^ bits[b, words]).sum(1, dtype=np.int64) <= most
             a, b, most = a[near], b[near], most[near]
+        if len(a):
+            here = _given_here(key[a, 0], named[a], named[b])
+            a, b = a[here], b[here]
         if tries is not None:
             wanted = (tried[a] < tries) | (tried[b] < tries)
             a, b = a[wanted], b[wanted]
@@ -563,9 +605,7 @@ def joined(docs: DataFrame) -> DataFrame:
         # Buckets whose members are still apart.
         placed = staged(member.join(near, "id", "left").select(
             "sig", "id", F.coalesce("component_id", "id").alias("own")), "members")
-        apart = _apart(placed)
-        open_rows = placed.join(apart.select("sig", "members"), "sig").join(sets, "id")
-        found_apart = staged(survivors(open_rows, tries), "survivors")
+        found_apart = staged(survivors(_open_rows(placed, sets), tries), "survivors")
         more = staged(found_apart.distinct().join(tested, ["a", "b"], "left_anti"), "untested")
         extra = staged(verified(docs, more), "links")
         if not extra.isEmpty():

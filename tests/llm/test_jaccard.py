@@ -175,3 +175,45 @@ def test_buckets_of_the_same_members_are_gone_through_once(make, monkeypatch):
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, i) for i in range(4)}
     assert seen and seen[0]
     assert all(a != b for groups in seen for a, b in zip(groups, groups[1:]))
+
+
+def passages_in_long_texts(seed, texts=10):
+    """Texts apart that share passages, and are too long for bitmaps to tell them apart."""
+    rng = random.Random(seed)
+    shared = [[f"p{k}x{n}" for n in range(30)] for k in range(30)]
+    return [(i, " ".join([f"own{i}x{n}" for n in range(2300)] + [w for p in shared if rng.random() < 0.6 for w in p]))
+            for i in range(texts)]
+
+
+@pytest.mark.parametrize("members", [2048, 4])
+def test_a_pair_in_many_buckets_is_given_once(llm, make, monkeypatch, members):
+    given, real, together = [], J.survivors, "spark.sql.adaptive.coalescePartitions.enabled"
+
+    def noted(rows, tries=None):
+        out = real(rows, tries)
+        # One task would give equal pairs once anyway.
+        llm.conf.set(together, "false")
+        given.append([tuple(r) for r in out.collect()])
+        llm.conf.set(together, "true")
+        return out
+
+    monkeypatch.setattr(J, "survivors", noted)
+    monkeypatch.setattr(J, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(J, "FIRST_TRIES", 0)
+    rows = passages_in_long_texts(7)
+    assert sorted(tuple(r) for r in J.joined(make(rows)).collect()) == brute(rows)
+    assert len(given[1]) > 10
+    assert len(given[1]) == len(set(given[1]))
+
+
+@pytest.mark.parametrize("named", [1, 2])
+def test_members_that_name_no_bucket_in_common(make, monkeypatch, named):
+    monkeypatch.setattr(J, "NAMED", named)
+    rows = passages_in_long_texts(8) + [(100 + i, t) for i, t in corpus(5, [f"p{k}" for k in range(20)])]
+    assert sorted(tuple(r) for r in J.joined(make(rows)).collect()) == brute(rows)
+
+
+def test_first_bucket_that_both_name():
+    left = np.array([[5, 9, 9], [5, 9, 2], [1, 1, 1]])
+    right = np.array([[9, 7, 2], [4, 9, 2], [2, 2, 2]])
+    assert J._given_here(np.array([9, 2, 3]), left, right).tolist() == [True, False, True]
