@@ -45,6 +45,10 @@ class LedgerFolders:
     def ledger(self) -> str:
         return f"{self.root}/ledger"
 
+    @property
+    def arrived(self) -> str:
+        return f"{self.root}/arrived"
+
     @property
     def labelled(self) -> str:
         return f"{self.root}/labelled"
@@ -82,21 +86,21 @@ def _store(rows: DataFrame, folders: LedgerFolders, place: Place) -> None:
 def persist_batch(batch: DataFrame, place: Place, folders: LedgerFolders, notify: bool = True) -> None:
     """Insert a micro-batch, then derive notifications and dead letters from its labels.
 
-    The labels are computed and written once. Rows this batch stored in an earlier
-    attempt are left out of the comparison, so a retry gives the same result.
+    The records are decoded once and the labels computed once; both are written and read back
+    by columns, so that the executors hold nothing of a batch, however large it is. Rows this
+    batch stored in an earlier attempt are left out of the comparison, so a retry gives the
+    same result.
     """
-    batch = batch.persist()
-    try:
-        rows = batch.count()
-        if rows > 0:
-            _persist_rows(batch, rows, place, folders, notify)
-    finally:
-        batch.unpersist()
+    if batch.isEmpty():
+        return
+    batch_folder(batch.drop("key"), folders.arrived, place)
+    arrived = batch.sparkSession.read.schema(batch.drop("key").schema).parquet(place.folder(folders.arrived))
+    _persist_rows(arrived, arrived.count(), place, folders, notify)
 
 
 def _persist_rows(batch: DataFrame, rows: int, place: Place, folders: LedgerFolders, notify: bool) -> None:
     spark = batch.sparkSession
-    good = batch.filter(~F.col("undecodable")).drop("undecodable", "key")
+    good = batch.filter(~F.col("undecodable")).drop("undecodable")
     others = stored_ledger(spark, folders).filter(place.is_other())
     labelled = persist(good, narrowed(others, good, rows)).labelled
     batch_folder(labelled, folders.labelled, place)

@@ -230,3 +230,32 @@ def test_letters_carry_the_record_as_it_was_sent(spark, tmp_path):
     spark.createDataFrame([("a", sent, 2, 0, 0, 3)], log_stream.RECORD).write.parquet(path)
     log_stream.ledger_arrived(log_stream.consume(spark, path), folders)
     assert spark.read.parquet(folders.letters).first()["payload"] == sent
+
+
+def watched_writes(spark, monkeypatch):
+    """The writes of the ledger consumer, and whether each finds anything cached."""
+    found, write = [], log_stream.batch_folder
+
+    def watched(df, path, place):
+        cached = not df.sparkSession._jsparkSession.sharedState().cacheManager().isEmpty()
+        found.append((path.rsplit("/", 1)[-1], cached))
+        write(df, path, place)
+
+    monkeypatch.setattr(log_stream, "batch_folder", watched)
+    return found
+
+
+def test_ledger_batch_is_written_and_not_cached(spark, tmp_path, monkeypatch):
+    folders, found = log_stream.LedgerFolders(str(tmp_path / "consumer")), watched_writes(spark, monkeypatch)
+    path = str(tmp_path / "log")
+    log_stream.publish(log(spark, *parts()[0], *parts()[1]), path)
+    # Extreme stamps, in records that are undecodable by their type.
+    bad = [(f"a{n}", f'{{"processedAt":"{stamp}","type":"GIFT"}}', 90 + n, 0, 0, 3)
+           for n, stamp in enumerate(["0001-01-01T00:00:00Z", "1582-10-10T00:00:00Z", "+294247-01-10T04:00:54Z"])]
+    spark.createDataFrame(bad, log_stream.RECORD).write.mode("append").parquet(path)
+    done = log_stream.ledger_arrived(log_stream.consume(spark, path), folders)
+    assert sorted(done.collect()) == sorted(persist(log(spark, *parts()[0], *parts()[1])).inserted.collect())
+    assert found == [(name, False) for name in ("arrived", "labelled", "webhook_dispatch", "transaction_log_dlt")]
+    assert spark.read.parquet(folders.arrived).count() == 9
+    letters = spark.read.parquet(folders.letters).filter("reason = 'undecodable payload'").collect()
+    assert sorted((r["seq"], r["payload"]) for r in letters) == [(r[2], r[1]) for r in bad]
