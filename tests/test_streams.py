@@ -259,3 +259,17 @@ def test_ledger_batch_is_written_and_not_cached(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(folders.arrived).count() == 9
     letters = spark.read.parquet(folders.letters).filter("reason = 'undecodable payload'").collect()
     assert sorted((r["seq"], r["payload"]) for r in letters) == [(r[2], r[1]) for r in bad]
+
+
+def test_replay_into_a_ledger_is_written_and_not_cached(spark, tmp_path, monkeypatch):
+    folders = log_stream.LedgerFolders(str(tmp_path / "consumer"))
+    for path in published(spark, tmp_path, parts()[:1]):
+        log_stream.ledger_arrived(log_stream.consume(spark, path), folders)
+    found = watched_writes(spark, monkeypatch)
+    for path in published(spark, tmp_path, parts()[1:]):
+        rows, _ = log_stream.replay_into(spark, path, folders)
+    assert found == [(name, False) for name in ("arrived", "labelled", "transaction_log_dlt")]
+    # The replay is a run of its own, beside the records of the consumer.
+    runs = spark.read.parquet(folders.arrived).groupBy("run_id").count().collect()
+    assert sorted((r["run_id"].split("-")[0], r["count"]) for r in runs) == [("replay", 6), ("run", 3)]
+    assert sorted(rows.collect()) == sorted(persist(log(spark, *parts()[0], *parts()[1])).inserted.collect())
