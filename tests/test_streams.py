@@ -273,3 +273,15 @@ def test_replay_into_a_ledger_is_written_and_not_cached(spark, tmp_path, monkeyp
     runs = spark.read.parquet(folders.arrived).groupBy("run_id").count().collect()
     assert sorted((r["run_id"].split("-")[0], r["count"]) for r in runs) == [("replay", 6), ("run", 3)]
     assert sorted(rows.collect()) == sorted(persist(log(spark, *parts()[0], *parts()[1])).inserted.collect())
+
+
+def test_ledger_and_dispatch_consumers_cache_nothing(spark, tmp_path, monkeypatch):
+    folders, found = log_stream.LedgerFolders(str(tmp_path / "consumer")), watched_writes(spark, monkeypatch)
+    monkeypatch.setattr(webhook_stream, "batch_folder", log_stream.batch_folder)
+    for path in published(spark, tmp_path, parts()):
+        log_stream.ledger_arrived(log_stream.consume(spark, path), folders)
+    done = webhook_stream.payloads_arrived(
+        webhook_stream.consume(spark, folders.webhooks), str(tmp_path / "payloads"), str(tmp_path / "cp"))
+    assert [(r["callback_url"], r["chunk_no"], r["updates"]) for r in done.collect()] == [("https://a.example", 0, 4)]
+    assert {name for name, _ in found} >= {"arrived", "labelled", "webhook_dispatch", "payloads"}
+    assert not any(cached for _, cached in found)
