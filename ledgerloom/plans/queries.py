@@ -456,7 +456,7 @@ def service_chain_stream(spark, sf):
     documents = log_stream.audit_arrived(log_stream.consume(spark, folders.log), f"{folders.root}/audit",
                                          f"{folders.root}/audit-checkpoint")
     audited = documents.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("documents"))
-    told = decoded(spark.read.schema(webhook_stream.RECORD).parquet(kept.webhooks), schemas.WEBHOOK_WIRE)
+    told = decoded(record_batch(spark, kept.webhooks, webhook_stream.RECORD), schemas.WEBHOOK_WIRE)
     last = told.groupBy("transaction_id").agg(F.max("status").alias("told"))
     held = entered.select("transaction_id", F.lit(True).alias("in_ledger"))
     return (audited.join(held, "transaction_id", "left").join(last, "transaction_id", "left")

@@ -15,7 +15,7 @@ from ..operators.ledger import INSERTED, ledger_rows, narrowed, persist, replaye
 from ..sources.records import decoded, encoded, kept, positioned, record_batch, record_stream
 from ..sources.sinks import publish_records
 from ..sources.tables import stored_or_empty
-from .runs import PLACE_FIELDS, Place, batch_folder, drain
+from .runs import PLACE_FIELDS, Place, batch_folder, batch_read, drain
 
 # What a topic calls partition and offset travels beside each record in these columns.
 POSITION = ("seq", "delivery_no", "copy_no", "source_partition")
@@ -93,8 +93,9 @@ def persist_batch(batch: DataFrame, place: Place, folders: LedgerFolders, notify
     """
     if batch.isEmpty():
         return
-    batch_folder(batch.drop("key"), folders.arrived, place)
-    arrived = batch.sparkSession.read.schema(batch.drop("key").schema).parquet(place.folder(folders.arrived))
+    batch = batch.drop("key")
+    batch_folder(batch, folders.arrived, place)
+    arrived = batch_read(batch.sparkSession, batch.schema, folders.arrived, place)
     _persist_rows(arrived, arrived.count(), place, folders, notify)
 
 
@@ -104,7 +105,7 @@ def _persist_rows(batch: DataFrame, rows: int, place: Place, folders: LedgerFold
     others = stored_ledger(spark, folders).filter(place.is_other())
     labelled = persist(good, narrowed(others, good, rows)).labelled
     batch_folder(labelled, folders.labelled, place)
-    done = spark.read.schema(labelled.schema).parquet(place.folder(folders.labelled))
+    done = batch_read(spark, labelled.schema, folders.labelled, place)
     _store(ledger_rows(done.filter(F.col("disposition") == INSERTED), F.col("processed_at")), folders, place)
     if notify:
         told = webhooks.dispatch(webhooks.ledger_updates(done))

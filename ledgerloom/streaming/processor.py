@@ -34,7 +34,7 @@ from ..sources.sinks import publish_records
 from ..sources.tables import stored_or_empty
 from .idempotency import HoldFolders, Rule, fold_batch, key_rule
 from .log import POSITION
-from .runs import PLACE_FIELDS, Place, batch_folder, drain
+from .runs import PLACE_FIELDS, Place, batch_folder, batch_read, drain
 
 RECORD = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("value", T.StringType()),
@@ -103,10 +103,10 @@ def process_batch(batch: DataFrame, place: Place, folders: ProcessorFolders, rul
     """Judge a micro-batch, fold its valid requests, and write what follows from either."""
     spark, holds = batch.sparkSession, folders.duplicates
     batch_folder(deadletter.classified_requests(batch).select(*JUDGED.fieldNames()), folders.judged, place)
-    judged = spark.read.schema(JUDGED).parquet(place.folder(folders.judged))
+    judged = batch_read(spark, JUDGED, folders.judged, place)
     fold_batch(judged.filter("reason IS NULL"), rule, holds, place)
-    done = _with_outcome(spark.read.schema(LABELLED).parquet(place.folder(holds.labelled)))
-    late = spark.read.schema(JUDGED).parquet(place.folder(holds.late))
+    done = _with_outcome(batch_read(spark, LABELLED, holds.labelled, place))
+    late = batch_read(spark, JUDGED, holds.late, place)
     log = accepted_log(done).join(done.select("seq", "delivery_no", "source_partition"), ["seq", "delivery_no"])
     # Requests and log are keyed by account alike, so an event stays in its partition.
     batch_folder(encoded(log.withColumn("copy_no", F.lit(0)), schemas.LOG_WIRE, "account_id", POSITION), folders.log, place)

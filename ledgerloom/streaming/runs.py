@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..session import PLAIN_READS
+
 QUERY_ID = "sql.streaming.queryId"
 PLACE_FIELDS = (T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType()))
 
@@ -50,6 +52,11 @@ def batch_folder(df: DataFrame, path: str, place: Place) -> None:
     df.write.mode("overwrite").parquet(place.folder(path))
 
 
+def batch_read(spark: SparkSession, schema: T.StructType, path: str, place: Place) -> DataFrame:
+    """What a micro-batch has written."""
+    return spark.read.options(**PLAIN_READS).schema(schema).parquet(place.folder(path))
+
+
 def into_folders(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch_folder(batch, path, Place.of(batch, batch_id))

@@ -14,12 +14,13 @@ from ledgerloom.operators.idempotency import classify
 from ledgerloom.operators.ledger import persist
 from ledgerloom.operators.validate import valid
 from ledgerloom.sources import sinks
-from ledgerloom.sources.records import decoded, record_stream
+from ledgerloom.sources.records import decoded, encoded, record_batch, record_stream
 from ledgerloom.sources.tables import by_id, since
 from ledgerloom.streaming import idempotency, limits
 from ledgerloom.streaming import log as log_stream
+from ledgerloom.streaming import processor
 from ledgerloom.streaming import webhooks as webhook_stream
-from ledgerloom.streaming.runs import Place
+from ledgerloom.streaming.runs import Place, batch_folder, batch_read
 
 KEPT = ("outcome", "holder", "held_since")
 
@@ -285,3 +286,43 @@ def test_ledger_and_dispatch_consumers_cache_nothing(spark, tmp_path, monkeypatc
     assert [(r["callback_url"], r["chunk_no"], r["updates"]) for r in done.collect()] == [("https://a.example", 0, 4)]
     assert {name for name, _ in found} >= {"arrived", "labelled", "webhook_dispatch", "payloads"}
     assert not any(cached for _, cached in found)
+
+
+def test_chain_from_requests_to_audit_caches_nothing(spark, tmp_path, monkeypatch):
+    found = watched_writes(spark, monkeypatch)
+    monkeypatch.setattr(processor, "batch_folder", log_stream.batch_folder)
+    rows = requests(spark, *[request(n, idempotency_key=f"k{n - n % 2}", amount=Decimal(-1 if n == 7 else 1)) for n in range(8)])
+    sent = rows.withColumns({"_key": F.lit("a"), "source_partition": F.col("seq") % 6})
+    path, folders = str(tmp_path / "in"), processor.ProcessorFolders(str(tmp_path / "root"))
+    processor.publish_raw(encoded(sent, schemas.REQUEST_WIRE, "_key", ("seq", "delivery_no", "source_partition")), path)
+    processor.processed_arrived(processor.consume(spark, path), folders)
+    kept = log_stream.LedgerFolders(f"{folders.root}/ledger")
+    entered = log_stream.ledger_arrived(log_stream.consume(spark, folders.log), kept)
+    docs = log_stream.audit_arrived(log_stream.consume(spark, folders.log), str(tmp_path / "audit"), str(tmp_path / "cp"))
+    assert sorted(r["transaction_id"] for r in entered.collect()) == [f"tx-{n}" for n in (0, 2, 4, 6)]
+    assert docs.count() == 4
+    assert {name for name, _ in found} >= {"judged", "transaction_log", "arrived", "labelled"}
+    assert not any(cached for _, cached in found)
+
+
+def test_reading_records_keeps_nothing_outside_the_heap(spark, tmp_path):
+    management = spark.sparkContext._jvm.java.lang.management
+    pools = spark.sparkContext._jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean")
+
+    def outside():
+        spark.sparkContext._jvm.System.gc()
+        return next(p for p in management.ManagementFactory.getPlatformMXBeans(pools) if p.getName() == "direct").getMemoryUsed()
+
+    # One file, whose texts make a column chunk of about 45 MB.
+    text = F.concat(*[F.sha2(F.concat("id", F.lit(n)).cast("string"), 512) for n in range(3)])
+    rows = spark.range(0, 120_000, 1, 1).select(F.lit("a").alias("key"), text.alias("value"))
+    place, path = Place("run", 0), str(tmp_path / "records")
+    batch_folder(rows, path, place)
+    at_first = outside()
+    for read in (record_batch(spark, path, webhook_stream.RECORD), batch_read(spark, webhook_stream.RECORD, path, place)):
+        assert read.agg(F.max("value")).first()[0] is not None
+        assert outside() - at_first < 10_000_000
+    out = str(tmp_path / "out")
+    job = record_stream(spark, path, webhook_stream.RECORD).writeStream.format("parquet").option("path", out)
+    job.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert outside() - at_first < 10_000_000
